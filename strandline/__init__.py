@@ -1 +1,11 @@
-"""Spark-first operators for representation, time-series and encoding studies."""
+"""Spark-first operators for representation, time-series and encoding studies.
+
+Python functions of this package travel to the executors by value, so that a
+cluster needs no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
