@@ -11,6 +11,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=50, keep_text=False)
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.minhash_forest import near_duplicates
 
