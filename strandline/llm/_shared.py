@@ -143,3 +143,19 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
 def int64(values: np.ndarray) -> pa.Array:
     """Unsigned 64-bit values as the signed ones of the same bits."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))
+
+
+def worker_cache() -> dict:
+    """A dict that lives as long as the Python worker (code sent by value has no lasting module)."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_strandline_worker_cache", types.ModuleType("cache")).__dict__
+
+
+def bounded_rows(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
+    """About ``rows`` of the ``total`` rows, chosen by a hash of ``key`` (the same ones on every run)."""
+    from pyspark.sql import functions as F
+
+    part = min(1.0, rows / max(total, 1))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(np.ceil(part * 1_000_000))))
