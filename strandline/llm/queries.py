@@ -11,6 +11,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Where the public tokenizer file lies; read on the driver only.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.sentencepiece_lattice import encoding_digests
+
+    return encoding_digests(_table(spark, sf_dir, "documents"), SENTENCEPIECE_MODEL)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.substring_dedup import remove_repeats
 
