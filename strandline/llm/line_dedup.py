@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm._shared import stored
+
 WINDOW = 3
 
 
@@ -35,6 +37,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("tkey"), F.split("text", "\n", -1).alias("lines"))
     seen = texts.where(F.size("lines") >= WINDOW).select("doc_id", "tkey", F.explode(_windows(F.col("lines"))).alias("w")).select("doc_id", "tkey", "w.*").where("pos is not null")
     first = seen.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tkey", "pos")).alias("first")).where("n > 1").drop("n")
+    first, _ = stored(first)  # the join then reads two plain exchanges, which Spark can split where a window is very common
     later = seen.join(first, ["k1", "k2"]).where(F.struct("doc_id", "tkey", "pos") > F.col("first"))
     return later.groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("spots"))
 
