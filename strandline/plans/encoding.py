@@ -1 +1,54 @@
-"""Queries to come."""
+"""Encoding queries: ``embeddings`` as features of a language's scans, runs of nine sections, targets mixed from the features."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandline.catalog import query
+from strandline.functions import vectors as V
+from strandline.functions.numbers import shown
+from strandline.operators import encoding as E
+from strandline.operators import geometry as G
+from strandline.plans import views
+
+
+def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, layer, condition, run, scan, x, nuisance, y: three targets that depend on the shared part more and more."""
+    parts = G.decompose(views.layer_vectors(spark, sf_dir).where("layer < 2"), ["layer"])
+    conditions = F.create_map(F.lit("raw"), F.col("raw"), F.lit("shared"), F.col("shared"), F.lit("specific"), F.col("specific"))
+    rows = parts.withColumn("run", (F.col("triplet") % 9 + 1).cast("int")).withColumn("scan", F.floor(F.col("triplet") / 9).cast("int"))
+    noise = V.dot(F.slice("raw", 1, 4), F.slice("specific", 5, 4))
+    y = F.array(*[F.col("shared")[k] * k + F.col("specific")[k] * 0.3 + noise for k in range(3)])
+    nuisance = F.array(F.lit(1.0), F.col("scan") / 100.0, F.cos(F.pi() * (F.col("scan") + 0.5) / 40))
+    return rows.withColumn("y", y).withColumn("nuisance", nuisance).select("lang", "layer", F.explode(conditions).alias("condition", "x"), "run", "scan", "nuisance", "y")
+
+
+@query()
+def ridge_encode_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.encode_groups(_scans(spark, sf_dir), ["lang", "layer", "condition"], ["t0", "t1", "t2"])
+    return out.select("lang", "layer", "condition", "target", *[shown(c, 4).alias(c) for c in ("r", "z", "r2")])
+
+
+@query()
+def robustness_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shared - specific z of each language and layer in two settings (all nuisance, intercept only), and how many are positive."""
+    scans = _scans(spark, sf_dir).where("condition <> 'raw'")
+    settings = scans.withColumn("setting", F.lit("full")).unionByName(scans.withColumn("setting", F.lit("no_nuisance")).withColumn("nuisance", F.array(F.lit(1.0))))
+    cells = E.encode_groups(settings, ["setting", "lang", "layer", "condition"], ["t0", "t1", "t2"])
+    wide = cells.groupBy("setting", "lang", "layer").pivot("condition", ["shared", "specific"]).agg(F.avg("z"))
+    delta = wide.withColumn("delta", F.col("shared") - F.col("specific"))
+    return delta.groupBy("setting").agg(F.count("*").alias("n_cells"), F.sum((F.col("delta") > 0).cast("long")).alias("n_positive"), shown(F.avg("delta"), 4).alias("mean_delta"))
+
+
+_M = f"WITH {views.METRIC_SQL}"
+
+
+@query(f"""{_M} SELECT lang, roi, condition, round(tanh(avg(atanh(least(greatest(r, -0.999999), 0.999999)))), 6) + 0.0 AS r, round(avg(z), 6) + 0.0 AS z, round(avg(r2), 6) + 0.0 AS r2 FROM m GROUP BY ALL""")
+def shuffle_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.shuffle_average(views.metrics(spark, sf_dir), ["lang", "roi", "condition"]).select("lang", "roi", "condition", *[shown(c).alias(c) for c in ("r", "z", "r2")])
+
+
+@query("SELECT k::INT AS place, round(pow(10, -2 + 8 * k / 14.0::DOUBLE), 6) AS alpha FROM range(15) t(k)")
+def alpha_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(15).select(F.col("id").cast("int").alias("place"), F.round(F.pow(F.lit(10.0), -2 + 8 * F.col("id") / F.lit(14.0)), 6).alias("alpha"))
