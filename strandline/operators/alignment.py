@@ -304,6 +304,8 @@ def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "
         if value < score.get(at, (math.inf, 0)):
             score[at] = value
 
+    # every group's forms once, not once for each pair of groups
+    forms = [{(i, a): token_forms(list(side[i : i + a]), language) for i in range(size) for a in range(1, min(widest, size - i) + 1)} for side, size in ((tree, n), (rows, most))]
     for i in range(n + 1):
         for j in range(most + 1):
             here = score.get((i, j))
@@ -316,7 +318,7 @@ def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "
                 offer((i, j + 1), (cost + 1, minus))
             for a in range(1, min(widest, n - i) + 1):
                 for b in range(1, min(widest, most - j) + 1):
-                    if same_tokens(tree[i : i + a], rows[j : j + b], language):
+                    if not forms[0][i, a].isdisjoint(forms[1][j, b]):
                         offer((i + a, j + b), (cost, minus - max(a, b)))
     ends = [(score[(n, j)][0], abs(j - n), score[(n, j)][1], j) for j in range(1, most + 1) if (n, j) in score]
     if not ends or min(ends)[0] > limit:

@@ -39,7 +39,7 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     mapped = F.create_map(*[F.lit(x) for kv in CONDITIONS.items() for x in kv])
     layer, roi = F.col("event_id") % 13, F.col("event_id") % 18
-    z = F.col("value") / 500 - 0.1
+    z = F.col("value") / 487.31 - 0.1
     return e.select(
         F.col("user_id").alias("subject"), (F.col("user_id") % 3).cast("int").alias("lang"), layer.cast("int").alias("layer"),
         F.when(layer < 12, layer / F.lit(11.0)).alias("layer_depth"), roi.cast("int").alias("roi"), family(roi).alias("roi_family"),
@@ -72,7 +72,7 @@ METRIC_SQL = """m AS (SELECT user_id subject, (user_id % 3)::INT lang, (event_id
   CASE WHEN event_id % 13 < 12 THEN (event_id % 13) / 11.0::DOUBLE END layer_depth, (event_id % 18)::INT roi,
   CASE WHEN event_id % 18 < 8 THEN 'semantic' WHEN event_id % 18 < 14 THEN 'auditory' ELSE 'control' END roi_family,
   CASE event_type WHEN 'view' THEN 'raw' WHEN 'click' THEN 'shared' WHEN 'signup' THEN 'specific' WHEN 'purchase' THEN 'full' ELSE 'mismatched_shared' END condition,
-  value / 500 - 0.1 z, tanh(value / 500 - 0.1) r, tanh(value / 500 - 0.1) * tanh(value / 500 - 0.1) r2 FROM events)"""
+  value / 487.31 - 0.1 z, tanh(value / 487.31 - 0.1) r, tanh(value / 487.31 - 0.1) * tanh(value / 487.31 - 0.1) r2 FROM events)"""
 SPAN_SQL = "sp AS (SELECT conv_id section, turn::INT idx, role, text, turn * 4.0::DOUBLE onset, turn * 4.0::DOUBLE + 1.0 + length(text) / 100 \"offset\" FROM conversations)"
 SAMPLE_SQL = """sa AS (SELECT user_id subject, (day % 9)::INT run, day, us / 1e6 - day * 86400 t, value, event_id, event_type
   FROM (SELECT *, us // 86400000000 AS day FROM (SELECT *, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') us FROM events)))"""
