@@ -33,6 +33,8 @@ INSULTS = "idiot moron scum trash worthless pathetic disgusting stupid loser clo
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
 #: Beginnings of words that may enter the learned lexicon, in bytes.
 STEMS = (4, 5, 6, 7)
+#: Texts that the driver looks at together while fitting.
+DRIVER_TEXTS = 200
 #: Words within which a second-person word is near.
 NEAR = 5
 
@@ -142,33 +144,46 @@ def features(data: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     ])
 
 
-def learn_lexicon(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, least: int = 4, ratio: float = 8.0, most: int = 50_000) -> Lexicon:
-    """Words and beginnings at least ``ratio`` times likelier in toxic documents, seen in ``least`` of them."""
+def _unit_counts(data: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct unit hashes of a chunk, and for each the (toxic, other) documents that hold it."""
     start, end, doc, sums, _ = _words_of(data, offsets)
-    keys, weights = [], []
+    keys, counts = [], []
     for at, value in units(sums, start, end):
         order = np.lexsort((doc[at], value))
         v, d = value[order], doc[at][order]
         new = np.ones(len(v), bool)
         new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-        v, d = v[new], d[new]
-        if not len(v):
-            continue
-        head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        bad = np.add.reduceat(toxic[d].astype(float), head)
-        good = np.diff(np.append(head, len(v))) - bad
-        odds = ((bad + 0.5) / (toxic.sum() + 1)) / ((good + 0.5) / ((~toxic).sum() + 1))
-        chosen = (bad >= least) & (odds >= ratio)
-        keys.append(v[head][chosen])
-        weights.append(np.log(odds[chosen]))
-    if not keys:
-        return Lexicon()
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
+        keys.append(v[new])
+        counts.append(np.column_stack([toxic[d[new]], ~toxic[d[new]]]).astype(np.int64))
+    return _summed(np.concatenate(keys), np.concatenate(counts))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[head], np.add.reduceat(counts, head)
+
+
+def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, ratio: float = 8.0, most: int = 50_000) -> Lexicon:
+    """Words and beginnings at least ``ratio`` times likelier in toxic documents, seen in ``least`` of them."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+    for a in range(0, len(texts), DRIVER_TEXTS):
+        more = _unit_counts(*_joined(texts[a : a + DRIVER_TEXTS]), toxic[a : a + DRIVER_TEXTS])
+        keys, counts = _summed(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
+    odds = ((counts[:, 0] + 0.5) / (toxic.sum() + 1)) / ((counts[:, 1] + 0.5) / ((~toxic).sum() + 1))
+    chosen = (counts[:, 0] >= least) & (odds >= ratio)
+    keys, weights = keys[chosen], np.log(odds[chosen])
     if len(keys) > most:
-        top = np.argsort(-weights, kind="stable")[:most]
+        top = np.sort(np.argsort(-weights, kind="stable")[:most])
         keys, weights = keys[top], weights[top]
-    order = np.argsort(keys)
-    return Lexicon(keys[order], weights[order])
+    return Lexicon(keys, weights)
+
+
+def text_features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
+    return np.concatenate([features(*_joined(texts[a : a + DRIVER_TEXTS]), lexicon) for a in range(0, len(texts), DRIVER_TEXTS)])
 
 
 @dataclass
@@ -271,10 +286,10 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     masks = [part < 2, (part == 2) | (part == 3), part == 4]
     if len(toxic) < 25 or any(toxic[m].all() or not toxic[m].any() for m in masks):
         return Model(Lexicon(), None, None, share)
-    pick = lambda m: _joined([t for t, k in zip(texts, m, strict=True) if k])
-    first = learn_lexicon(*pick(masks[0]), toxic[masks[0]])
-    trees = boost(features(*pick(masks[1]), first), toxic[masks[1]].astype(float))
-    raw = trees.raw(features(*pick(masks[2]), first))
+    pick = lambda m: [t for t, k in zip(texts, m, strict=True) if k]
+    first = learn_lexicon(pick(masks[0]), toxic[masks[0]])
+    trees = boost(text_features(pick(masks[1]), first), toxic[masks[1]].astype(float))
+    raw = trees.raw(text_features(pick(masks[2]), first))
     return Model(first, trees, isotonic(raw, toxic[masks[2]].astype(float)), share)
 
 
@@ -298,7 +313,7 @@ def _scores(model: Model):
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sample_chars: int = 40_000, threshold: float = 0.3) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, sample_chars: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, tkey (xxhash64 of the text), held_out, score, predicted for every row of ``docs`` (doc_id, text)."""
     session_of(docs)
     model = fit(*labelled_sample(docs, labels, sample_rows, sample_chars))
@@ -318,7 +333,7 @@ def _keep_clean(model: Model, threshold: float):
     return run
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, sample_chars: int = 40_000, threshold: float = 0.3) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, sample_rows: int = 10_000, sample_chars: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, all columns as they are."""
     session_of(docs)
     model = fit(*labelled_sample(docs, labels, sample_rows, sample_chars))
