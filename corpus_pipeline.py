@@ -24,15 +24,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows lose all but their first occurrence; a document with no line left goes."""
-    kept = line_dedup.dedup_lines(docs)
-    return kept.where("n_lines = 0 or n_removed < n_lines").select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs, "sl_lines", "sl_removed")
+    return kept.where("sl_lines = 0 or sl_removed < sl_lines").select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (the least doc_id)."""
     groups = minhash_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("gone"), "left_anti")
+    gone = groups.where("not kept").select(F.col("doc_id").alias("sl_gone")).distinct()
+    return docs.join(gone, docs.doc_id == F.col("sl_gone"), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

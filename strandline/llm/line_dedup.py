@@ -42,8 +42,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     return later.groupBy("doc_id", "tkey").agg(F.collect_set("pos").alias("spots"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with ``text`` and ``n_chars`` as they are after removal, and n_lines, n_removed (long)."""
+def dedup_lines(docs: DataFrame, lines_as: str = "n_lines", removed_as: str = "n_removed") -> DataFrame:
+    """The rows of ``docs`` with ``text`` and ``n_chars`` as they are after removal, and the numbers of lines and of removed ones (long).
+
+    ``lines_as``, ``removed_as``: names of those columns; columns of ``docs`` that have them are replaced.
+    """
     columns = docs.columns
     base = docs.select("doc_id", "text", F.struct(*[docs[c] for c in columns]).alias("sl_row")).withColumn("tkey", F.xxhash64("text"))
     joined = base.join(repeated_windows(docs), ["doc_id", "tkey"], "left")
@@ -57,5 +60,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_removed = F.coalesce(F.size("sl_lines") - F.when(F.col("sl_stay").isNotNull(), F.size("sl_stay")), F.lit(0)).cast("bigint")
     joined = joined.withColumns({"sl_n_lines": n_lines, "sl_n_removed": n_removed})
     fresh = {"text": F.col("sl_text"), "n_chars": F.length("sl_text").cast("bigint")}
-    kept_columns = [fresh[c].alias(c) if c in fresh else F.col("sl_row")[c].alias(c) for c in columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*kept_columns, F.col("sl_n_lines").alias("n_lines"), F.col("sl_n_removed").alias("n_removed"))
+    kept_columns = [fresh[c].alias(c) if c in fresh else F.col("sl_row")[c].alias(c) for c in columns if c not in (lines_as, removed_as)]
+    return joined.select(*kept_columns, F.col("sl_n_lines").alias(lines_as), F.col("sl_n_removed").alias(removed_as))
