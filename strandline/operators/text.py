@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 from strandline.functions.tokens import DECLARATIVE, EXCLAMATION, PAUSE, QUESTION, normal_token, without_marks
 
 
-@F.pandas_udf("string")
-def normal_token_udf(tokens: pd.Series) -> pd.Series:
+def _normal_tokens(tokens: pd.Series) -> pd.Series:
     return tokens.map(normal_token)
 
 
-@F.pandas_udf("string")
-def without_marks_udf(texts: pd.Series) -> pd.Series:
+def _without_marks(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else without_marks(t))
 
 
-def canonical_forms(normal: Column, folded: Column) -> Column:
+def normal_tokens(tokens: Column | str) -> Column:
+    """Normal spellings; Unicode normal forms have no SQL function, so Arrow batches go through Python."""
+    return F.pandas_udf(_normal_tokens, "string")(tokens)
+
+
+def folded(texts: Column | str) -> Column:
+    """Texts without diacritics."""
+    return F.pandas_udf(_without_marks, "string")(texts)
+
+
+def canonical_forms(normal: Column, plain: Column) -> Column:
     """The same forms for one token, from its normal and its folded spelling, in SQL functions."""
     bare = lambda c: F.translate(c, "'-", "")
-    return F.filter(F.array_distinct(F.array(normal, bare(normal), folded, bare(folded))), lambda x: x != "")
+    return F.filter(F.array_distinct(F.array(normal, bare(normal), plain, bare(plain))), lambda x: x != "")
 
 
 def punct_class(text: Column) -> Column:

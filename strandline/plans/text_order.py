@@ -37,7 +37,7 @@ def char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, a AS token, b AS folded, len(list_filter(list_distinct([a, translate(a, '''-', ''), b, translate(b, '''-', '')]), lambda x: x <> ''))::INT AS n_forms, count(*) AS n FROM n GROUP BY ALL""")
 def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = views.table(spark, sf_dir, "documents").select("lang", F.regexp_extract("text", r"^\S+", 0).alias("t")).where("t <> ''")
-    rows = first.groupBy("lang", "t").agg(F.count("*").alias("n")).withColumn("token", T.normal_token_udf("t")).withColumn("folded", T.without_marks_udf("token"))
+    rows = first.groupBy("lang", "t").agg(F.count("*").alias("n")).withColumn("token", T.normal_tokens("t")).withColumn("folded", T.folded("token"))
     counted = rows.groupBy("lang", "token", "folded").agg(F.sum("n").alias("n"))
     return counted.select("lang", "token", "folded", F.size(T.canonical_forms(F.col("token"), F.col("folded"))).alias("n_forms"), "n")
 
