@@ -90,3 +90,20 @@ def zscored(rows: DataFrame, keys: list[str], value: str, floor: float = 1e-6) -
 def histogram_bin(x: Column, low: float, high: float, bins: int) -> Column:
     """1 .. bins; the last bin holds its right edge; null outside."""
     return F.when(x.between(low, high), F.least(F.width_bucket(x, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)))
+
+
+def nuisance_frame(scans: DataFrame, keys: list[str], regressors: dict[str, DataFrame], kernel: list[float], hz: float, tr: float, n: int) -> DataFrame:
+    """Intercept, linear trend and every regressor convolved and sampled, one column each, for all scans of all series.
+
+    ``scans``: one row a series (keys); ``regressors``: sparse grids by column name. Where a regressor has no row it is 0.
+    """
+    spark = scans.sparkSession
+    times = spark.range(n).select(F.col("id").cast("int").alias("scan"))
+    grid = scans.select(*keys).distinct().join(F.broadcast(times))
+    long = None
+    for name, series in regressors.items():
+        part = convolved_at_scans(series, keys, kernel, hz, tr, n).withColumn("name", F.lit(name))
+        long = part if long is None else long.unionByName(part)
+    wide = long.groupBy(*keys, "scan").pivot("name", list(regressors)).agg(F.sum("y"))
+    trend = -1 + 2 * F.col("scan") / F.lit(float(max(n - 1, 1)))
+    return grid.join(wide, [*keys, "scan"], "left").fillna(0.0, list(regressors)).withColumns({"intercept": F.lit(1.0), "linear_trend": trend})

@@ -119,3 +119,26 @@ def sentence_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     bins = T.interval_bins(views.spans(spark, sf_dir), F.col("onset"), F.col("offset"), 2.0, 80).join(size)
     rows = bins.select("section", "bin", ((F.col("section") + F.col("idx")) % F.col("s")).alias("triplet")).join(v, "triplet")
     return rows.groupBy("section", "bin").agg(shown(F.sum("a")).alias("x0"), shown(F.sum("b")).alias("x1"))
+
+
+_BOX = f"""bf AS (SELECT subject, day, {_FIRST} a, t, value FROM sa), bl AS (SELECT subject, day, a, least(greatest(ceil((t + value * 20) * {_H}), a + 1), {BINS})::BIGINT b FROM bf),
+bx AS (SELECT DISTINCT subject, day, unnest(range(a, b))::INT AS bin, 1.0::DOUBLE AS x FROM bl)"""
+
+
+def _column_sql(series: str, name: str) -> str:
+    return f"{name} AS (SELECT subject, day, scan, sum(x * h) AS y FROM (SELECT *, unnest({KERNEL}::DOUBLE[]) h, bin + unnest(range({len(KERNEL)})) AS pos FROM {series}) c JOIN sn USING (pos) GROUP BY ALL)"
+
+
+@query(f"""{_W}, {_IMPULSE}, {_INTERP}, {_BOX}, {_SCAN}, {_column_sql('im', 'c1')}, {_column_sql('ip', 'c2')}, {_column_sql('bx', 'c3')}, g AS (SELECT DISTINCT subject, day FROM sa)
+SELECT g.subject, g.day, sn.scan, 1.0::DOUBLE AS intercept, round(-1 + 2 * sn.scan / {SCANS - 1}.0::DOUBLE, 6) + 0.0 AS linear_trend,
+  round(coalesce(c1.y, 0), 6) + 0.0 AS word_rate, round(coalesce(c2.y, 0), 6) + 0.0 AS intensity, round(coalesce(c3.y, 0), 6) + 0.0 AS block
+FROM g, sn LEFT JOIN c1 ON c1.subject = g.subject AND c1.day = g.day AND c1.scan = sn.scan LEFT JOIN c2 ON c2.subject = g.subject AND c2.day = g.day AND c2.scan = sn.scan
+LEFT JOIN c3 ON c3.subject = g.subject AND c3.day = g.day AND c3.scan = sn.scan""")
+def nuisance_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = views.samples(spark, sf_dir)
+    parts = {
+        "word_rate": T.impulses(s, KEYS, "t", HZ, BINS), "intensity": T.interpolated(s, KEYS, "t", "value", HZ, BINS),
+        "block": T.boxcar(s, KEYS, F.col("t"), F.col("t") + F.col("value") * 20, HZ, BINS),
+    }
+    out = T.nuisance_frame(s, KEYS, parts, KERNEL, HZ, TR, SCANS)
+    return out.select(*KEYS, "scan", "intercept", *[shown(c).alias(c) for c in ("linear_trend", "word_rate", "intensity", "block")])
