@@ -7,8 +7,9 @@ the size of its text, wins. Letters are lower-cased, every run of other
 characters counts as one space. Whole texts are parsed, side by side in blocks
 of ``BLOCK`` characters (a phrase ends with its block).
 
-Bounds of the labelled sample (parameters): ``sample_docs`` documents and
-``sample_chars`` characters for each language.
+Bounds of the labelled sample (parameters): about ``sample_docs`` documents and
+at most ``sample_chars`` characters for each language, of a long text a stretch
+from a hashed place.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
 so does everything when no labelled document exists.
@@ -184,7 +185,9 @@ def language_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
         return {}
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(np.ceil(1e6 * min(1.0, 2 * sample_docs / n)))))])
     each = 4 * sample_chars // sample_docs
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, each).alias("text"))
+    # of a long text one stretch, at a place that a hash of its doc_id sets
+    at = (1 + F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - each + 1, F.lit(1)))).cast("int")
+    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), F.substr(F.col("text"), at, F.lit(each)).alias("text"))
     found: dict[str, list[str]] = {k: [] for k in sizes}
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         have = found[r["lang"]]
