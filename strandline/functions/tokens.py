@@ -24,7 +24,12 @@ def without_marks(text: str) -> str:
 
 def token_forms(tokens: list[str], language: str = "") -> set[str]:
     """All spellings a group of tokens counts as equal under."""
-    plain = [t for t in map(normal_token, tokens) if t]
+    return forms_of([normal_token(t) for t in tokens], language)
+
+
+def forms_of(normal: list[str], language: str = "") -> set[str]:
+    """The same for tokens in their normal spelling."""
+    plain = [t for t in normal if t]
     if not plain:
         return set()
     forms = set()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors as V
-from strandline.functions.tokens import last_class, normal_token, token_forms
+from strandline.functions.tokens import forms_of, last_class, normal_token
 
 # --- fixed values ---
 COSINE_WEIGHT, LENGTH_WEIGHT, PUNCT_WEIGHT, MERGE_PENALTY = 1.0, 0.25, 0.10, 0.10
@@ -226,13 +226,13 @@ def align_pairs(sentences: DataFrame) -> DataFrame:
 
 
 def same_tokens(a: Sequence[str], b: Sequence[str], language: str = "") -> bool:
-    return bool(token_forms(list(a), language) & token_forms(list(b), language))
+    """Whether two groups of tokens in normal spelling have a form in common."""
+    return not forms_of(list(a), language).isdisjoint(forms_of(list(b), language))
 
 
 def soft_token(token: str) -> bool:
-    """Punctuation that may be skipped."""
-    normal = normal_token(token)
-    return not normal or normal == "..." or all(c in "-.?!,:;\"'" for c in normal)
+    """Punctuation (in normal spelling) that may be skipped."""
+    return not token or token == "..." or all(c in "-.?!,:;\"'" for c in token)
 
 
 def align_tokens(words: Sequence[str], intervals: Sequence[str], language: str = "", reach: int = 3) -> tuple[list[tuple[int, int] | None], str]:
@@ -243,6 +243,7 @@ def align_tokens(words: Sequence[str], intervals: Sequence[str], language: str =
     side; else one of each is left out.
     """
     found: list[tuple[int, int] | None] = [None] * len(words)
+    words, intervals = [normal_token(t) for t in words], [normal_token(t) for t in intervals]
     i = j = missed = 0
     while i < len(words) and j < len(intervals):
         group = next(((a, b) for a, b in TOKEN_GROUPS if i + a <= len(words) and j + b <= len(intervals) and same_tokens(words[i : i + a], intervals[j : j + b], language)), None)
@@ -305,7 +306,8 @@ def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "
             score[at] = value
 
     # every group's forms once, not once for each pair of groups
-    forms = [{(i, a): token_forms(list(side[i : i + a]), language) for i in range(size) for a in range(1, min(widest, size - i) + 1)} for side, size in ((tree, n), (rows, most))]
+    tree, rows = [normal_token(t) for t in tree], [normal_token(t) for t in rows[:most]]
+    forms = [{(i, a): forms_of(list(side[i : i + a]), language) for i in range(size) for a in range(1, min(widest, size - i) + 1)} for side, size in ((tree, n), (rows, most))]
     for i in range(n + 1):
         for j in range(most + 1):
             here = score.get((i, j))

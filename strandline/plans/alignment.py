@@ -51,14 +51,15 @@ def triplet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.table(spark, sf_dir, "conversations").where("turn = 0")
+    """Every turn is a section of its own here."""
+    c = views.table(spark, sf_dir, "conversations")
     tokens = F.filter(F.split("text", r"\s+"), lambda x: x != "")
-    return c.select(F.col("conv_id").alias("section"), F.posexplode(tokens).alias("idx", "token"))
+    return c.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("section"), F.posexplode(tokens).alias("idx", "token"))
 
 
 @query()
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each first turn with intervals that lack every eleventh word and have marks split off."""
+    """Words of each turn with intervals that lack every eleventh word and have marks split off."""
     words = _words(spark, sf_dir)
     timed = words.where("idx % 11 <> 10").select("section", "idx", F.regexp_replace("token", "[.,]$", "").alias("token"), (F.col("idx") * 0.5).alias("onset"), (F.col("idx") * 0.5 + 0.4).alias("offset"))
     return A.align_token_sections(words, timed)
@@ -66,7 +67,7 @@ def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of eight words as trees, cut back out of each first turn's timed words."""
+    """Sentences of eight words as trees, cut back out of each turn's timed words."""
     words = _words(spark, sf_dir).select("section", "idx", "token", (F.col("idx") * 0.5).alias("onset"), (F.col("idx") * 0.5 + 0.4).alias("offset"))
     trees = words.groupBy("section", F.floor(F.col("idx") / 8).cast("int").alias("sentence")).agg(F.sort_array(F.collect_list(F.struct("idx", "token"))).alias("t"))
     return A.sentence_spans(words, trees.select("section", "sentence", F.col("t.token").alias("tokens")))

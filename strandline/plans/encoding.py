@@ -15,7 +15,7 @@ from strandline.plans import views
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lang, layer, condition, run, scan, x, nuisance, y: three targets that depend on the shared part more and more."""
-    parts = G.decompose(views.layer_vectors(spark, sf_dir).where("layer < 2"), ["layer"])
+    parts = G.decompose(views.layer_vectors(spark, sf_dir), ["layer"])
     conditions = F.create_map(F.lit("raw"), F.col("raw"), F.lit("shared"), F.col("shared"), F.lit("specific"), F.col("specific"))
     rows = parts.withColumn("run", (F.col("triplet") % 9 + 1).cast("int")).withColumn("scan", F.floor(F.col("triplet") / 9).cast("int"))
     noise = V.dot(F.slice("raw", 1, 4), F.slice("specific", 5, 4))
