@@ -147,10 +147,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) ->
     paths = texts.where("doc_id is not null").mapInArrow(_paths(window), _PATHS)
 
     anchors = paths.groupBy("h").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1"), (F.min("g") < F.max("g")).alias("branches"))
-    repeated, _ = stored(paths.join(anchors.where("d0 < d1").drop("d1"), "h"))
+    # stored, so that the join reads two plain exchanges and Spark can split a very common anchor
+    anchors, _ = stored(anchors.where("d0 < d1").drop("d1"))
+    repeated, _ = stored(paths.join(anchors, "h"))
     plain = repeated.where("not branches and doc_id > d0").select("doc_id", "tkey", "s", "n")
     forks = repeated.where("branches")
-    leaders = forks.groupBy("h", "g").agg(F.min("doc_id").alias("lead"))
+    leaders, _ = stored(forks.groupBy("h", "g").agg(F.min("doc_id").alias("lead")))
     forks = forks.join(leaders, ["h", "g"])
     later = forks.where("doc_id > lead").select("doc_id", "tkey", "s", "n")
     # a leader's windows are looked up, and those of the anchor's first document are what they are found in
@@ -161,6 +163,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, keep_text: bool = True) ->
     windows = dealt.join(listed, ["doc_id", "tkey"]).select("doc_id", "text", "tkey", "paths").mapInArrow(_windows(window), _WINDOWS)
     windows, _ = stored(windows)
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("d0"), F.max("doc_id").alias("d1")).where("d0 < d1")
+    first, _ = stored(first)
     single = windows.join(first, ["w1", "w2"]).where("doc_id > d0").select("doc_id", "tkey", "s", F.lit(1).alias("n"))
 
     covered = plain.unionAll(later).unionAll(single).groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("s", "n")).alias("spans"))
