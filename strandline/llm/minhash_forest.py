@@ -161,7 +161,7 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region_max: int = 4096, block_shingles: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region_max: int = 4096, block_shingles: int = 250_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     ``percent``: least shared part of two distinct shingle sets, in hundredths of their union.
