@@ -7,10 +7,10 @@ lexicon has at most exp(idf_high) times the mean number of distinct terms of a
 document, however large the corpus: that bounds what is sent to the tasks.
 
 A text's distinct lexicon terms, sorted, are hashed in ``SUBSETS`` randomised
-sub-lexicons at three sampling rates around 1 / (number of terms), so that a
-sub-lexicon holds about one term of the text at any length. The fingerprint is
-the level and those hashes; the likeness of two is the share of equal hashes
-among the sub-lexicons that hold a term of either.
+sub-lexicons at three sampling rates from 1 / (number of terms) down, so that a
+sub-lexicon holds about one term of the text or none, at any length. The fingerprint is
+the level and those hashes; the likeness of two is twice the number of equal
+hashes over the sub-lexicons that hold a term, of the one and of the other.
 
 The edited text of a document (its last quarter replaced by the beginning of the
 next document) needs the next document: rows are dealt into ranges of doc_id,
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm._shared import Words, int64, mix64, session_of, text_chunks
 
-SUBSETS = 24
+SUBSETS = 48
 LEVELS = 3
 _SALT = np.random.default_rng(5).integers(0, 2**63, SUBSETS, dtype=np.uint64)
 #: (term, document) counts a task holds before it adds them up.
@@ -107,7 +107,7 @@ def fingerprints(texts: list[bytes], lexicon: np.ndarray) -> tuple[np.ndarray, n
     inside |= np.bincount(doc[inside], minlength=len(texts))[doc] == 0
     doc, term = _distinct(doc[inside], words.hashes[inside])
     count = np.bincount(doc, minlength=len(texts))
-    level = np.maximum(np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64) - 1, 0)
+    level = np.ceil(np.log2(np.maximum(count, 1))).astype(np.int64)
     out = np.zeros((len(texts), LEVELS, SUBSETS), np.uint16)
     if len(doc):
         full = np.flatnonzero(count)
@@ -125,16 +125,15 @@ def fingerprints(texts: list[bytes], lexicon: np.ndarray) -> tuple[np.ndarray, n
 
 
 def likeness(level_a: np.ndarray, a: np.ndarray, level_b: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row: the share of equal hashes among the sub-lexicons, at levels both have, that hold a term of either."""
-    equal, either = np.zeros(len(a)), np.zeros(len(a))
+    """Row by row, at the levels both have: twice the equal hashes over the sub-lexicons that hold a term of one and of the other (Dice)."""
+    equal, held = np.zeros(len(a)), np.zeros(len(a))
     for x in range(LEVELS):
         for y in range(LEVELS):
             same = level_a + x == level_b + y
-            some = (a[:, x] != 0) | (b[:, y] != 0)
-            equal += same * ((a[:, x] == b[:, y]) & some).sum(1)
-            either += same * some.sum(1)
+            equal += same * ((a[:, x] == b[:, y]) & (a[:, x] != 0)).sum(1)
+            held += same * ((a[:, x] != 0).sum(1) + (b[:, y] != 0).sum(1))
     whole = (level_a == level_b) & (a == b).all((1, 2))
-    return np.where(whole, 1.0, equal / np.maximum(either, 1))
+    return np.where(whole, 1.0, 2 * equal / np.maximum(held, 1))
 
 
 def _text_of(level: int, hashes: np.ndarray) -> str:
