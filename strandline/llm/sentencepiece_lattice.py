@@ -40,6 +40,8 @@ SPACE = "▁"
 REMEMBERED = 800_000
 #: Characters of new words that are indexed at a time.
 INDEXED = 400_000
+#: Characters of a word that are compared with the word before it.
+SHARED = 32
 _UNIT = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
@@ -147,31 +149,46 @@ class Encoder:
         rank = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = array[rank]
         size = np.repeat(self.word_size, count)
+        # words come sorted: what a word shares with the one before is relaxed already
+        heads = np.concatenate([[0], stops[:-1]])
+        sizes = stops - 1 - heads
+        common = np.zeros(len(words), np.int64)
+        alike = np.ones(len(words), bool)
+        alike[0] = False
+        for k in range(SHARED):
+            alike[1:] &= (sizes[1:] > k) & (sizes[:-1] > k)
+            at = np.flatnonzero(alike)
+            if not len(at):
+                break
+            alike[at] = code[heads[at] + k] == code[heads[at - 1] + k]
+            common[alike] = k + 1
+        owner = np.searchsorted(stops, start, "right")
+        fresh = start + size > (heads + common)[owner]
+        start, size, piece = start[fresh], size[fresh], np.repeat(self.word_ids, count)[fresh]
         order = np.lexsort((start, start + size))  # by the place where they end, longest first
-        begin, end, piece = (x[order].tolist() for x in (start, start + size, np.repeat(self.word_ids, count)))
-        first = np.zeros(len(code) + 1, bool)
-        first[0] = True
-        first[stops] = True
-        is_first = first.tolist()
+        ends = (start + size)[order]
+        begin, end, piece = start[order].tolist(), ends.tolist(), piece[order].tolist()
+        cut = np.searchsorted(ends, np.append(heads, len(code)), "right").tolist()
         last = [-1] * (len(code) + 1)  # the last piece of the encoding that ends here; -1: a character without a piece
         pair, stays, alone = self.pair, self._stays, self._alone
-        settled = -1
-        for s, e, p in zip(begin, end, piece, strict=True):
-            if e == settled:
-                continue
-            if is_first[s]:
-                good = alone(p)
-            else:
-                before = last[s]
+        before_head = 0
+        for w, (head, same) in enumerate(zip(heads.tolist(), common.tolist(), strict=True)):
+            if same:
+                last[head + 1 : head + same + 1] = last[before_head + 1 : before_head + same + 1]
+            before_head, settled, a, b = head, -1, cut[w], cut[w + 1]
+            for s, e, p in zip(begin[a:b], end[a:b], piece[a:b], strict=True):
+                if e == settled:
+                    continue
+                before = last[s] if s != head else -1
                 if before < 0:
                     good = alone(p)
                 else:
                     good = pair.get(before << 20 | p)
                     if good is None:
                         good = stays(before, p)
-            if good:
-                last[e] = p
-                settled = e
+                if good:
+                    last[e] = p
+                    settled = e
         length, base, number = [len(p) for p in self.v.pieces], self.v.byte_base, self.number
         left = 0
         for word, stop in zip(words, stops.tolist(), strict=True):
