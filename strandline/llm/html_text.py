@@ -2,16 +2,18 @@
 
 A page is read as blocks. Zones that markup names (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts, styles) are chrome
-and go; what an explicit container (article, main, role=main) holds is the main
-text and stays whole, however often it is repeated. A page without a container
-leaves open which of its blocks are main text. There the host's suffix array
-decides: the token streams of the host's pages outside their containers are
-joined, and a run of ``RUN`` or more tokens that occurs on distinct pages is
-boilerplate. Suffixes that share their first ``RUN`` tokens are one interval of
-the suffix array, so the array is dealt out by (host, first RUN tokens) and no
-host is ever gathered: an interval with two distinct pages marks its positions.
-Blocks mostly covered by such runs go, unless nothing would be left (copies of a
-page are not boilerplate).
+and go. Of the others, those inside an explicit container (article, main,
+role=main) are candidates for the main text, or all where a page has no
+container. The host's suffix array judges these: the token streams of the host's
+pages are joined, inside containers and outside apart, and a run of ``RUN`` or
+more tokens that occurs in different texts is boilerplate. Suffixes that share
+their first ``RUN`` tokens are one interval of the suffix array (a place lies in
+a repeated run of ``RUN`` or more tokens just when it lies in one of ``RUN``), so
+the array is dealt out by (host, first RUN tokens) and no host is ever gathered:
+an interval with two different texts marks its positions. Blocks mostly covered
+by such runs go. Copies of a page are not boilerplate: containers with equal
+tokens are one text, a container that would lose over half of its tokens stays
+whole, and so does a page without a container of which nothing would be left.
 
 References are decoded, white space inside a block becomes one space, blocks are
 joined by one \\n.
@@ -27,12 +29,14 @@ import html as _html
 import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import session_of
+from strandline.llm._shared import mix64, session_of
 
 #: Tokens that a repeated run has at least.
 RUN = 6
@@ -41,7 +45,7 @@ COVERED = 0.8
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_CONTAINER = r"(?i)<(article|main)[\s/>]|role\s*=\s*[\"']?main|articlebody"
+_DEALT = pa.schema([("bucket", pa.int32()), ("pages", pa.binary()), ("grams", pa.binary()), ("owner", pa.binary()), ("place", pa.binary())])
 
 # --- fixed values: element names and the words of class, id and role that name a zone ---
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -159,69 +163,117 @@ def read_page(page: str) -> tuple[bool, list[tuple[str, str]]]:
     return found_main, blocks
 
 
-def _outside(page: str) -> list[str]:
-    """Tokens of what lies outside the containers, chrome first to last, in page order."""
-    return [t for zone, text in read_page(page)[1] if zone != "main" for t in text.split()]
+def _streams(page: str) -> tuple[bool, list[str], list[str]]:
+    """(has a container, tokens inside the containers, tokens outside), chrome among the latter, in page order."""
+    has_main, blocks = read_page(page)
+    inside, outside = [], []
+    for zone, text in blocks:
+        (inside if zone == "main" else outside).extend(text.split())
+    return has_main, inside, outside
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, position) for the suffixes of each page's outside stream."""
-    for batch in batches:
-        row, gram, position = [], [], []
-        for i, page in enumerate(batch.column(2).to_pylist()):
-            tokens = _outside(page or "")
-            for p in range(len(tokens) - RUN + 1):
-                row.append(i)
-                gram.append(xxhash.xxh64_intdigest(" ".join(tokens[p : p + RUN])) - 2**63)
-                position.append(p)
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(take), batch.column(1).take(take), batch.column(3).take(take), batch.column(4).take(take), pa.array(gram, pa.int64()), pa.array(position, pa.int32())],
-            ["page_id", "tkey", "host", "open", "gram", "pos"],
-        )
+def _runs(tokens: list[str], seed: int) -> np.ndarray:
+    """Hashes of the stream's suffixes, each by its first RUN tokens."""
+    n = len(tokens) - RUN + 1
+    if n < 1:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, tokens), np.uint64, len(tokens))
+    state = np.full(n, seed, np.uint64)
+    for k in range(RUN):
+        state = mix64(state + hashes[k : k + n])
+    return state
+
+
+def _dealt(buckets: int):
+    """Rows (bucket, pages, entries): the suffixes of a batch of pages, dealt by (host, inside or outside, first RUN tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, grams, owner, position = [], [], [], []
+            for pid, tkey, page, host in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                has_main, inside, outside = _streams(page or "")
+                # containers with equal tokens are copies of one text, whatever surrounds them
+                text = xxhash.xxh64_intdigest(" ".join(inside)) - 2**63 if has_main else tkey
+                for side, tokens, key, judged in (("main", inside, text, 1), ("", outside, tkey, int(not has_main))):
+                    found = _runs(tokens, xxhash.xxh64_intdigest(f"{side} {host}"))
+                    grams.append(found)
+                    owner.append(np.full(len(found), len(pages), np.uint32))
+                    position.append(np.arange(len(found), dtype=np.uint32))
+                    pages.append((pid, tkey, key, judged))
+            table, gram, own = np.array(pages, np.int64).reshape(-1, 4), np.concatenate([np.zeros(0, np.uint64), *grams]), np.concatenate([np.zeros(0, np.uint32), *owner])
+            place = np.concatenate([np.zeros(0, np.uint32), *position])
+            bucket = (gram % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            out = []
+            for b in np.flatnonzero(np.diff(ends)):
+                at = order[ends[b] : ends[b + 1]]
+                here, local = np.unique(own[at], return_inverse=True)
+                out.append((int(b), table[here].tobytes(), gram[at].tobytes(), local.astype(np.uint32).tobytes(), place[at].tobytes()))
+            yield pa.RecordBatch.from_pylist([dict(zip(_DEALT.names, x, strict=True)) for x in out], _DEALT)
+
+    return run
+
+
+def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
+    """(pid, tkey, covered): where runs of a bucket begin that two different texts share, on the pages they judge."""
+    tables = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in frame["pages"]]
+    first = np.cumsum([0, *map(len, tables)])
+    table = np.concatenate(tables)
+    gram = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["grams"]])
+    own = np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) + f for x, f in zip(frame["owner"], first[:-1], strict=True)])
+    place = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["place"]])
+    order = np.argsort(gram, kind="stable")
+    gram, own, place = gram[order], own[order], place[order]
+    begin = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    key = table[own, 2]
+    shared = np.minimum.reduceat(key, begin) < np.maximum.reduceat(key, begin)
+    hit = np.repeat(shared, np.diff(np.append(begin, len(gram)))) & (table[own, 3] == 1)
+    own, place = own[hit], place[hit].astype(np.int32)
+    order = np.argsort(own, kind="stable")
+    own, place = own[order], place[order]
+    pages, begin = np.unique(own, return_index=True)
+    return pd.DataFrame({"pid": table[pages, 0], "tkey": table[pages, 1], "covered": np.split(place, begin[1:]) if len(pages) else []})
 
 
 def main_text(page: str, covered: list[int] | None = None) -> str:
-    """The page's main text; ``covered``: positions in the outside stream where repeated runs begin."""
+    """The page's main text; ``covered``: positions in the judged stream (inside the containers, or outside where there is none) where repeated runs begin."""
     has_main, blocks = read_page(page)
-    if has_main:
-        return "\n".join(text for zone, text in blocks if zone == "main")
     hit: set[int] = set()
     for p in covered or ():
         hit.update(range(p, p + RUN))
-    kept, every, at = [], [], 0
+    kept, every, at, left, total = [], [], 0, 0, 0
     for zone, text in blocks:
+        if has_main and zone != "main":
+            continue
         n = len(text.split())
-        if zone == "":
+        if zone in ("", "main"):
             every.append(text)
+            total += n
             if sum(at + i in hit for i in range(n)) < COVERED * n:
                 kept.append(text)
+                left += n
         at += n
-    return "\n".join(kept or every)
+    whole = 2 * left < total if has_main else not kept
+    return "\n".join(every if whole else kept)
 
 
-def _texts(with_cover: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cover = batch.column(3).to_pylist() if with_cover else [None] * len(batch)
-            texts = [main_text(page or "", c) for page, c in zip(batch.column(2).to_pylist(), cover, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-    return run
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [main_text(page or "", c) for page, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages`` (page_id, url, html)."""
-    session_of(pages)
+    spark = session_of(pages)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    keyed = pages.withColumn("tkey", F.xxhash64("html")).withColumn("open", ~F.coalesce(F.col("html").rlike(_CONTAINER), F.lit(False)))
-    grams = keyed.select("page_id", "tkey", "html", host.alias("host"), "open").mapInArrow(_grams, "page_id bigint, tkey bigint, host string, open boolean, gram bigint, pos int")
-    # an interval of the suffix array that two different pages share
-    shared = grams.groupBy("host", "gram").agg(F.min("tkey").alias("t0"), F.max("tkey").alias("t1"), F.bool_or("open").alias("asked")).where("t0 < t1 and asked").select("host", "gram")
-    covered = grams.where("open").join(shared, ["host", "gram"]).groupBy("page_id", "tkey").agg(F.collect_list("pos").alias("covered"))
-    schema = "page_id bigint, url string, text string, n_chars bigint"
-    plain = keyed.where("not open").select("page_id", "url", "html").mapInArrow(_texts(False), schema)
-    cover = covered.select(F.col("page_id").alias("cp"), F.col("tkey").alias("ct"), "covered")
-    asked = keyed.where("open").join(cover, F.col("page_id").eqNullSafe(F.col("cp")) & (F.col("tkey") == F.col("ct")), "left").select("page_id", "url", "html", "covered")
-    return plain.unionAll(asked.mapInArrow(_texts(True), schema))
+    keyed = pages.withColumn("pid", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("tkey", F.xxhash64("html"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.select("pid", "tkey", "html", host.alias("host")).mapInArrow(_dealt(buckets), "bucket int, pages binary, grams binary, owner binary, place binary")
+    # an interval of the suffix array that two different texts share
+    found = dealt.groupBy("bucket").applyInPandas(_repeated, "pid bigint, tkey bigint, covered array<int>")
+    cover = found.groupBy("pid", "tkey").agg(F.flatten(F.collect_list("covered")).alias("covered"))
+    asked = keyed.join(cover, ["pid", "tkey"], "left").select("page_id", "url", "html", "covered")
+    return asked.mapInArrow(_texts, "page_id bigint, url string, text string, n_chars bigint")

@@ -38,3 +38,19 @@ def test_host_suffix_array(spark):
     assert all(got[i] == prose(10 + i, 20) for i in range(5))
     assert all(got[10 + i] == prose(50, 15) for i in range(3)) and got[20] == notice
     assert got[30] == other and got[31] == f"{prose(60, 9)}\n{other}"  # a marked menu is evidence, an article is not
+
+
+def test_runs_inside_containers(spark):
+    notice, story = prose(1, 12), [prose(100 + i, 30) for i in range(9)]
+    page = lambda i, *blocks: (i, f"http://www.h.org/{i}", f"<nav>{prose(3, 8)}</nav><article>{''.join(f'<div>{b}</div>' for b in blocks)}</article>")
+    rows = [page(i, story[i], notice) for i in range(3)]
+    rows += [page(3, story[3]), (4, "http://www.h.org/4", f"<p>advert</p><article><div>{story[3]}</div></article>")]  # copies of one text
+    rows += [page(5, story[4], story[5], "one end"), page(6, story[4], story[5], "another end")]  # near copies
+    rows += [(7, "http://else.org/a", f"<article><p>{notice}</p><p>{story[6]}</p></article>")]  # another host
+    rows += [(8, "http://www.h.org/8", f"<!-- <article> --><p>{notice}</p><p>{story[7]}</p>"), (9, "http://www.h.org/9", f"<p>{notice}</p><p>{story[8]}</p>")]  # no container but in a comment
+    rows += [(None, "http://www.h.org/n", f"<article><p>{notice}</p><p>{story[8]}</p></article>")]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert [got[i] for i in range(3)] == story[:3] and got[None] == story[8]
+    assert got[3] == got[4] == story[3] and got[7] == f"{notice}\n{story[6]}"
+    assert got[5] == f"{story[4]}\n{story[5]}\none end" and got[6] == f"{story[4]}\n{story[5]}\nanother end"
+    assert got[8] == story[7] and got[9] == story[8]
