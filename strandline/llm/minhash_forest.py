@@ -1,12 +1,10 @@
 """MinHash near-duplicate groups with an LSH forest.
 
 Method: every distinct shingle set gets a 96-value MinHash signature. The forest
-reads it in 24 orders (trees); two sets are neighbours in a tree when their
-longest common prefix reaches the tree's base depth (4 values: a pair at
-similarity 0.8 shares it in some tree with probability 1 - 3e-6). The depth
-adapts per region: a region that holds more than ``region_max`` distinct sets is
-read two values deeper, then two more. Each region ties its members to its
-least member, so a region costs as many rows as it has members. Candidate groups
+reads it in 24 orders (trees) that share no value; two sets are neighbours in a
+tree when they agree in its 4 values (a pair at similarity 0.8 does in some tree
+with probability 1 - 3e-6). Such a region ties its members to its least member,
+however many it holds, so it costs as many rows as it has members. Candidate groups
 (components of those ties, ids only) are then confirmed on the full shingle
 sets, in blocks of bounded size, and the confirmed links make the groups.
 
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from strandline.llm._shared import Words, int64, mix64, prefix_sums, session_of, span_hash, stored, text_chunks
 from strandline.llm.components import connected_components
 
-TREES, BASE, STEP, LEVELS = 24, 4, 2, 3
+TREES, BASE = 24, 4
 VALUES = TREES * BASE
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64)
@@ -58,16 +56,12 @@ def _sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray,
 
 
 def _tree_keys(signature: np.ndarray) -> np.ndarray:
-    """Prefix hashes (rows x TREES x LEVELS) of every tree's order of the signature."""
-    out = np.empty((len(signature), TREES, LEVELS), np.uint64)
+    """Hashes (rows x TREES) of every tree's values of the signature."""
     tree = np.arange(TREES)
     state = mix64(np.broadcast_to(tree.astype(np.uint64) + np.uint64(1), (len(signature), TREES)))
-    for step in range(BASE + STEP * (LEVELS - 1)):
-        state = mix64(state + signature[:, (BASE * tree + step) % VALUES])
-        level, rest = divmod(step + 1 - BASE, STEP)
-        if step + 1 >= BASE and not rest:
-            out[:, :, level] = state
-    return out
+    for step in range(BASE):
+        state = mix64(state + signature[:, BASE * tree + step])
+    return state
 
 
 def _prints(size: int):
@@ -88,7 +82,7 @@ def _prints(size: int):
                     k2[full] = np.add.reduceat(mix64(hashes ^ _XOR[0]), at)
                 keys = _tree_keys(signature >> np.uint64(32)).reshape(-1)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(count), int64(k1), int64(k2), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * (TREES * LEVELS)), int64(keys))],
+                    [ids.slice(a, b - a), pa.array(count), int64(k1), int64(k2), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * TREES), int64(keys))],
                     ["doc_id", "n_shingles", "k1", "k2", "keys"],
                 )
 
@@ -165,6 +159,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     ``percent``: least shared part of two distinct shingle sets, in hundredths of their union.
+    ``region_max``: has no effect on the result or the method; regions of every size keep their ties.
     ``block_shingles``: shingles that are compared in one task; larger candidate groups are compared block against block.
     """
     spark = session_of(docs)
@@ -173,21 +168,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     known = prints.where("doc_id is not null and n_shingles > 0")
     reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.max("n_shingles").alias("n"))
 
-    # one row for each tree of a distinct set; keys holds LEVELS prefixes for each tree
-    rows = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("keys", t * LEVELS + 1, LEVELS))).alias("path"))
-    rows = rows.select("rep", *(F.col("path")[k].alias(f"p{k}") for k in range(LEVELS)))
-    edges = None
-    for level in range(LEVELS):
-        regions = rows.groupBy(f"p{level}").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-        members = rows.join(regions, f"p{level}")
-        last = level == LEVELS - 1
-        if not last:
-            members, _ = stored(members)
-        tied = members.where(F.lit(last) | (F.col("n") <= region_max)).where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-        edges = tied if edges is None else edges.unionAll(tied)
-        rows = members.where(F.col("n") > region_max).drop("n", "lead")
-        if not last and rows.isEmpty():
-            break
+    # one row for each tree of a distinct set
+    rows = reps.select("rep", F.explode("keys").alias("region"))
+    regions = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
+    edges = rows.join(regions, "region").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     groups, _ = stored(connected_components(edges).withColumnRenamed("component", "cc"))
 
     weight = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node")

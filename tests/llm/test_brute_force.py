@@ -82,6 +82,17 @@ def test_deeper_regions(docs, rows):
     assert got[50] == got[51] == got[3] == 3 and got[54] == got[55] == 54
 
 
+def test_recall_in_large_regions(spark):
+    """300 pairs that share 80 of 100 shingles: none is lost where every region is over the limit."""
+    rows = []
+    for k in range(300):
+        both = [f"w{k}x{i}" for i in range(80)]
+        rows += [(2 * k, " ".join([*both, *(f"a{k}x{i}" for i in range(10))])), (2 * k + 1, " ".join([*both, *(f"b{k}x{i}" for i in range(10))]))]
+    pairs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(pairs, 1, 80, region_max=1).collect()}
+    assert [k for k in range(300) if not got[2 * k] == got[2 * k + 1] == 2 * k] == []
+
+
 def test_linked_against_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
