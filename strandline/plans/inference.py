@@ -100,7 +100,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layer_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.layer_coupling(_curves(spark, sf_dir), ["lang"], "layer", "x", "y", 2000).select("lang", "n", shown("rho").alias("rho"), shown("p_perm").alias("p_perm"))
+    return I.layer_coupling(_curves(spark, sf_dir), ["lang"], "layer", "x", "y").select("lang", "n", shown("rho").alias("rho"), shown("p_perm").alias("p_perm"))
 
 
 @query()

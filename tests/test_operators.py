@@ -198,3 +198,16 @@ def test_sets(spark):
 def test_iqr_outliers(spark):
     rows = spark.createDataFrame([(float(x),) for x in (1, 2, 3, 4, 100)], "x double")
     assert [r.x for r in I.iqr_outliers(rows, "x", []).where(F.col("is_outlier")).collect()] == [100.0]
+
+
+def test_layer_permutation_draws(spark, monkeypatch):
+    """The query leaves the operator's 10,000 draws as they are."""
+    import inspect
+
+    from strandline.operators import inference
+    from strandline.plans import inference as plans
+
+    used, whole = [], inference.layer_coupling
+    monkeypatch.setattr(plans, "_curves", lambda spark, sf_dir: spark.createDataFrame([("en", k, float(k), float(k * k % 7)) for k in range(12)], "lang string, layer int, x double, y double"))
+    monkeypatch.setattr(inference, "layer_coupling", lambda *a, **b: used.append((bound := inspect.signature(whole).bind(*a, **b)).apply_defaults() or bound.arguments["draws"]) or whole(*a, **b))
+    assert plans.layer_permutation(spark, "").first().n == 12 and used == [10_000]
