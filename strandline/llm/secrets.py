@@ -21,6 +21,8 @@ from strandline.llm._shared import stored
 
 #: Code points on either side of a part within which others complete it.
 SCOPE = 400
+#: Matches that are folded into one list at a time: a list is copied at every step, so long ones are put together from blocks.
+FOLDED = 256
 
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Kinds in their order: (kind, role, base, pattern). A run of capitals or of hex digits matches whole or not at all, so its least length may stand in the pattern.
@@ -29,8 +31,8 @@ KINDS = [
     ("access", "id", True, r"AKIA[A-Z0-9]{16,}"),
     ("hex", "secret", True, r"[0-9a-f]{24,}"),
     ("user", "id", False, r"""(?:[Uu]ser(?:name)?|[Ll]ogin|[Cc]lient_?[Ii]d|[Aa]ccount)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""),
-    ("blob", "secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,60}[0-9])(?=[0-9a-z+/_-]{0,60}[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}"),
-    ("shorthex", "secret", False, r"(?<![0-9A-Za-z])(?=[a-f]{0,20}[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])"),
+    ("blob", "secret", False, r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9a-z+/_-]*+[A-Z])[A-Za-z0-9+/_-]{32,}+={0,2}"),
+    ("shorthex", "secret", False, r"(?<![0-9A-Za-z])(?=[a-f]*+[0-9])[0-9a-f]{16,23}(?![0-9A-Za-z])"),
     ("endpoint", "endpoint", False, r"""[a-z]{2,8}://[^\x20\x09-\x0D"'<>]+|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])"""),
 ]
 _SPAN = "array<struct<s:int,e:int,k:int>>"
@@ -43,7 +45,7 @@ def _found(text: Column, number: int) -> Column:
     parts = [F.transform(F.split(text, pattern, -1), F.length).alias("gap"), F.transform(whole, F.length).alias("own")]
     if kind == "assign":
         parts.append(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), F.length).alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    zipped = F.filter(F.arrays_zip(*parts), lambda x: x["own"].isNotNull())
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -53,8 +55,21 @@ def _found(text: Column, number: int) -> Column:
             spans = F.when(x["value"] >= 6, spans).otherwise(acc["out"])
         return F.struct(end.alias("at"), spans.alias("out"))
 
-    zipped = F.filter(F.arrays_zip(*parts), lambda x: x["own"].isNotNull())
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(zipped, start, step)["out"]).otherwise(F.array().cast(_SPAN))
+    def fold(matches: Column, at: Column) -> Column:
+        return F.aggregate(matches, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), step)["out"]
+
+    def folded(m: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(m) - 1) / FOLDED).cast("int"))
+        blocks = F.transform(numbers, lambda b: F.slice(m, b * FOLDED + 1, F.lit(FOLDED)))
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, x: n + x["gap"] + x["own"])
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(blocks, none, lambda acc, block: F.struct((acc["at"] + length(block)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))["out"]
+        in_blocks = F.flatten(F.transform(F.arrays_zip(blocks.alias("m"), begins.alias("at")), lambda z: fold(z["m"], z["at"])))
+        return F.when(F.size(m) <= FOLDED, fold(m, F.lit(0))).otherwise(in_blocks)
+
+    # a lambda binds the matches, so that the text is searched once
+    every = F.element_at(F.transform(F.array(zipped), folded), 1)
+    return F.when(F.regexp_like(text, F.lit(pattern)), every).otherwise(F.array().cast(_SPAN))
 
 
 def _listed(spans: Column) -> Column:
