@@ -4,15 +4,23 @@ A suffix automaton of labelled text of each language gives longest matches. A
 document is parsed greedily into phrases, each the longest string that occurs in
 the language's text; the language that needs the fewest phrases, normalised by
 the size of its text, wins. Letters are lower-cased, every run of other
-characters counts as one space. Whole texts are parsed, side by side in blocks
-of ``BLOCK`` characters (a phrase ends with its block).
+characters counts as one space; every letter keeps its own code.
 
-Bounds of the labelled sample (parameters): about ``sample_docs`` documents and
-at most ``sample_chars`` characters for each language, of a long text a stretch
-from a hashed place.
+Whole texts are parsed, side by side in blocks of ``BLOCK`` characters: each
+block is first parsed from a fresh start, then again from the state that the
+block before it leaves, until both parses are in one state, from where on they
+are the same. The phrases are those of one parse from left to right.
+
+An automaton's transitions are a hash table of about 4 MB for the 60,000
+characters of a language. Bounds of the labelled sample (parameters):
+``languages`` languages, those with most learnable documents (of equal ones the
+first by name); about ``sample_docs`` documents and at most ``sample_chars``
+characters for each, and ``total_chars`` characters in all; of a long text a
+stretch from a hashed place.
 
 Defined results: null text and text without a letter give ``und`` with score 0;
-so does everything when no labelled document exists.
+so does everything when no labelled document exists; of languages that need
+equally many bits the first by name wins; equal texts get equal results.
 """
 
 from __future__ import annotations
@@ -24,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import session_of, worker_cache
+from strandline.llm._shared import mix64, session_of, worker_cache
 
 BLOCK = 512
 #: Characters that are parsed at a time.
-AT_ONCE = 4_000_000
-SPACE, PAD = 0, 1
+AT_ONCE = 2_000_000
+SPACE = 0
 
 
 def held_out(doc_id: Column) -> Column:
@@ -67,20 +75,62 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return step
 
 
-def parse_table(codes: list[int], alphabet: int) -> np.ndarray:
-    """For state * alphabet + code: 4 * next state + phrases that end on the way."""
-    step = suffix_automaton(codes)
-    out = np.empty((len(step), alphabet), np.int32)
-    fresh = np.zeros(alphabet, np.int32)  # after a phrase has ended before this code
-    for c in range(alphabet):
-        fresh[c] = 4 * step[0][c] + 1 if c in step[0] else 2
-    out[:] = fresh
-    out[:, PAD] = 1
-    out[0] = [4 * step[0][c] if c in step[0] else 1 for c in range(alphabet)]
-    out[0, PAD] = 0
-    rows = np.repeat(np.arange(len(step)), [len(x) for x in step])
-    out[rows, np.fromiter((c for x in step for c in x), np.int64, len(rows))] = np.fromiter((4 * v for x in step for v in x.values()), np.int64, len(rows))
-    return out.reshape(-1)
+class ParseTable:
+    """Transitions of a suffix automaton as an open-addressed hash table, probed for many (state, code) at once."""
+
+    def __init__(self, codes: list[int]):
+        step = suffix_automaton(codes)
+        sizes = [len(x) for x in step]
+        state = np.repeat(np.arange(len(step), dtype=np.uint64), sizes)
+        code = np.fromiter((c for x in step for c in x), np.uint64, sum(sizes))
+        target = np.fromiter((t for x in step for t in x.values()), np.int32, sum(sizes))
+        bits = max(4, int(2 * len(code)).bit_length())
+        self.mask = np.int64((1 << bits) - 1)
+        self.key, self.to = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)  # key 0: free
+        key = (state << np.uint64(32) | code) + np.uint64(1)
+        slot = self._slot(key)
+        todo = np.arange(len(key))
+        while len(todo):
+            free = self.key[slot[todo]] == 0
+            first = np.unique(slot[todo[free]], return_index=True)[1]
+            won = todo[free][first]
+            self.key[slot[won]], self.to[slot[won]] = key[won], target[won]
+            placed = np.zeros(len(key), bool)
+            placed[won] = True
+            todo = todo[~placed[todo]]
+            slot[todo] = (slot[todo] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return mix64(key).view(np.int64) & self.mask
+
+    def _find(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is none."""
+        key = (state.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)) + np.uint64(1)
+        slot = self._slot(key)
+        held = self.key[slot]
+        out = np.where(held == key, self.to[slot], np.int32(-1))
+        open_ = np.flatnonzero((held != key) & (held != 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            held = self.key[slot[open_]]
+            hit = held == key[open_]
+            out[open_[hit]] = self.to[slot[open_[hit]]]
+            open_ = open_[~hit & (held != 0)]
+        return out
+
+    def advance(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after the code, phrases that end on the way); state 0 is between phrases."""
+        to = self._find(state, code)
+        stuck = np.flatnonzero(to < 0)
+        ended = np.zeros(len(state), np.int32)
+        if len(stuck):
+            again = stuck[state[stuck] > 0]
+            ended[again] = 1
+            to[again] = self._find(np.zeros(len(again), np.int32), code[again])
+            alone = stuck[to[stuck] < 0]  # a code that the language's text lacks is a phrase
+            ended[alone] += 1
+            to[alone] = 0
+        return to, ended
 
 
 def letters() -> np.ndarray:
@@ -103,51 +153,64 @@ def encode(texts: list[str], code_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parts.append(code[keep])
     begins = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=begins[1:])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint8)), begins, np.array(counts, np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), begins, np.array(counts, np.int64)
 
 
-def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[np.ndarray], alphabet: int) -> np.ndarray:
+def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[ParseTable]) -> np.ndarray:
     """Phrases that each text (row) needs in each language (column)."""
     sizes = np.diff(begins)
     blocks = -(-sizes // BLOCK)
     owner = np.repeat(np.arange(len(sizes)), blocks)
-    grid = np.full((len(owner), BLOCK), PAD, np.uint8)
-    first = np.cumsum(blocks) - blocks
-    row = np.repeat(first, sizes) * BLOCK + (np.arange(len(codes)) - np.repeat(begins[:-1], sizes))
-    grid.reshape(-1)[row] = codes
-    filled = np.minimum(BLOCK, np.repeat(sizes, blocks) - BLOCK * (np.arange(len(owner)) - np.repeat(first, blocks)))
+    head = begins[owner] + BLOCK * (np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    filled = np.minimum(BLOCK, begins[owner + 1] - head)
     order = np.argsort(-filled, kind="stable")  # full blocks first: the later steps need only some
-    steps = np.ascontiguousarray(grid[order].T)
     live = np.searchsorted(-filled[order], -np.arange(BLOCK), "left")
     out = np.zeros((len(sizes), len(tables)), np.int64)
+    if not len(owner):
+        return out
+    follows = np.append(owner[1:] == owner[:-1], False)  # the next block is of the same text
     for k, table in enumerate(tables):
+        states, counts = np.zeros((BLOCK, len(owner)), np.int32), np.zeros((BLOCK, len(owner)), np.int32)
         state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-        for t in range(BLOCK):
+        for t in range(int(filled.max())):
             n = live[t]
-            if not n:
-                break
-            got = table[state[:n] * alphabet + steps[t, :n]]
-            count[:n] += got & 3
-            state[:n] = got >> 2
-        count += state > 0
-        out[:, k] = np.bincount(owner[order], count, len(sizes)).astype(np.int64)
+            at = order[:n]
+            state[:n], ended = table.advance(state[:n], codes[head[at] + t])
+            count[:n] += ended
+            states[t, at], counts[t, at] = state[:n], count[:n]
+        fresh_last = states[filled - 1, np.arange(len(owner))]
+        last, total = fresh_last.copy(), counts[filled - 1, np.arange(len(owner))]
+        fresh_total = total.copy()
+        # parse on from where the block before really ends, until the fresh parse is met
+        redo = np.flatnonzero(follows & (last > 0)) + 1
+        while len(redo):
+            at, state, count, before = redo, last[redo - 1], np.zeros(len(redo), np.int32), last[redo]
+            t = 0
+            while len(at):
+                state, ended = table.advance(state, codes[head[at] + t])
+                count = count + ended
+                met = state == states[t, at]
+                here = at[met]
+                total[here], last[here] = count[met] + fresh_total[here] - counts[t, here], fresh_last[here]
+                ends = ~met & (filled[at] == t + 1)
+                total[at[ends]], last[at[ends]] = count[ends], state[ends]
+                on = ~met & ~ends
+                at, state, count, t = at[on], state[on], count[on], t + 1
+            changed = redo[last[redo] != before]
+            redo = changed[follows[changed]] + 1
+        open_ = ~follows & (last > 0)  # the text ends inside a phrase
+        out[:, k] = np.bincount(owner, total + open_, len(sizes)).astype(np.int64)
     return out
 
 
-def _model(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[np.ndarray], np.ndarray, int]:
-    """Languages, code of each code point, parse tables, log sizes, alphabet."""
+def _model(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[ParseTable], np.ndarray]:
+    """Languages, code of each code point (a letter's own number), parse tables, log sizes."""
     cache, key = worker_cache(), ("langid", hash(tuple((k, len(v), hash(tuple(v))) for k, v in sorted(samples.items()))))
     if key not in cache:
-        alpha = letters()
-        used = np.unique(np.concatenate([np.frombuffer("".join(v).lower().encode("utf-32-le", "surrogatepass"), np.uint32) for v in samples.values()]))
-        used = used[alpha[used]][:250]
-        code_of = np.zeros(0x110000, np.uint8)
-        code_of[alpha] = 2  # a letter of no sample
-        code_of[used] = 3 + np.arange(len(used))
-        alphabet = 3 + len(used)
+        code_of = np.where(letters(), np.arange(0x110000, dtype=np.int32), np.int32(SPACE))
         names = sorted(samples)
         coded = [encode(["\n".join(samples[k])], code_of)[0].tolist() for k in names]
-        cache[key] = (names, code_of, [parse_table(c, alphabet) for c in coded], np.log(np.array([len(c) + 2.0 for c in coded])), alphabet)
+        cache[key] = (names, code_of, [ParseTable(c) for c in coded], np.log(np.array([len(c) + 2.0 for c in coded])))
     return cache[key]
 
 
@@ -158,7 +221,7 @@ def _predict(samples: dict[str, list[str]]):
             if not samples:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["und"] * len(texts)), pa.array([0.0] * len(texts))], ["doc_id", "lang_pred", "score"])
                 continue
-            names, code_of, tables, logs, alphabet = _model(samples)
+            names, code_of, tables, logs = _model(samples)
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -166,7 +229,7 @@ def _predict(samples: dict[str, list[str]]):
                     size += len(texts[end])
                     end += 1
                 codes, begins, count = encode(texts[at:end], code_of)
-                bits = phrases(codes, begins, tables, alphabet) * logs
+                bits = phrases(codes, begins, tables) * logs
                 best = bits.argmin(1)
                 spread = np.exp(-(bits - bits.min(1, keepdims=True)) / 4)
                 score = np.where(count > 0, 1 / spread.sum(1), 0.0)
@@ -177,14 +240,15 @@ def _predict(samples: dict[str, list[str]]):
     return run
 
 
-def language_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dict[str, list[str]]:
+def language_sample(docs: DataFrame, sample_docs: int, sample_chars: int, languages: int, total_chars: int) -> dict[str, list[str]]:
     """Labelled texts of each language, within the bounds; the same ones on every run."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True))).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not sizes:
         return {}
+    sample_chars = min(sample_chars, total_chars // len(sizes))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(np.ceil(1e6 * min(1.0, 2 * sample_docs / n)))))])
-    each = 4 * sample_chars // sample_docs
+    each = max(1, 4 * sample_chars // sample_docs)
     # of a long text one stretch, at a place that a hash of its doc_id sets
     at = (1 + F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - each + 1, F.lit(1)))).cast("int")
     picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", F.xxhash64("doc_id").alias("h"), F.substr(F.col("text"), at, F.lit(each)).alias("text"))
@@ -192,14 +256,15 @@ def language_sample(docs: DataFrame, sample_docs: int, sample_chars: int) -> dic
     for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         have = found[r["lang"]]
         if len(have) < 2 * sample_docs and (room := sample_chars - sum(map(len, have))) > 0:
-            have.append(r["text"][:room])
+            skip = r["h"] % max(1, len(r["text"]) - room + 1)
+            have.append(r["text"][skip : skip + room])
     return found
 
 
-def identify_languages(docs: DataFrame, sample_docs: int = 100, sample_chars: int = 60_000) -> DataFrame:
+def identify_languages(docs: DataFrame, sample_docs: int = 100, sample_chars: int = 60_000, languages: int = 200, total_chars: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang); lang is read only for the sample."""
     session_of(docs)
-    samples = language_sample(docs, sample_docs, sample_chars)
+    samples = language_sample(docs, sample_docs, sample_chars, languages, total_chars)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = texts.mapInArrow(_predict(samples), "doc_id bigint, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
