@@ -6,13 +6,15 @@ toxic documents), their nearness to second-person words, capitals, punctuation
 and obfuscation rates. Trees, lexicon and calibration are fitted on disjoint
 parts of a bounded labelled sample; scoring reads every document's whole text.
 
-Bounds of the sample (parameters): ``sample_rows`` labelled documents of at most
-``sample_chars`` characters. Labels come only from documents whose
+Bounds of the sample (parameters): about ``sample_rows`` labelled documents, of a
+text longer than ``sample_chars`` characters a stretch of that length from a
+hashed place. The lexicon has no bound but the sample's. Labels come only from documents whose
 crc32(doc_id as text) mod 4 is not 2; labels, lang, source and doc_id are never
 features.
 
 Defined results: null text counts as empty and gets the score of an empty text;
-several labels of one document count once (toxic if any is); without labels of
+several labels of one document count once (toxic if any is), and so do several
+texts of one doc_id (that of the least hash); equal texts get equal scores; without labels of
 both kinds the score is the share of toxic labels, 0 without any.
 """
 
@@ -167,7 +169,7 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[head], np.add.reduceat(counts, head)
 
 
-def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, ratio: float = 8.0, most: int = 50_000) -> Lexicon:
+def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, ratio: float = 8.0) -> Lexicon:
     """Words and beginnings at least ``ratio`` times likelier in toxic documents, seen in ``least`` of them."""
     keys, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     for a in range(0, len(texts), DRIVER_TEXTS):
@@ -175,11 +177,7 @@ def learn_lexicon(texts: list[str], toxic: np.ndarray, least: int = 4, ratio: fl
         keys, counts = _summed(np.concatenate([keys, more[0]]), np.concatenate([counts, more[1]]))
     odds = ((counts[:, 0] + 0.5) / (toxic.sum() + 1)) / ((counts[:, 1] + 0.5) / ((~toxic).sum() + 1))
     chosen = (counts[:, 0] >= least) & (odds >= ratio)
-    keys, weights = keys[chosen], np.log(odds[chosen])
-    if len(keys) > most:
-        top = np.sort(np.argsort(-weights, kind="stable")[:most])
-        keys, weights = keys[top], weights[top]
-    return Lexicon(keys, weights)
+    return Lexicon(keys[chosen], np.log(odds[chosen]))
 
 
 def text_features(texts: list[str], lexicon: Lexicon) -> np.ndarray:
@@ -299,7 +297,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, sample
     some = bounded_rows(may, "doc_id", sample_rows, may.count()).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     # at most sample_rows ids and flags: small enough to send to every task
     some = F.broadcast(some)
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= sample_chars)).select("doc_id", "text").join(some, "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "text", "toxic").collect()
+    # of a long text one stretch, at a place that a hash of its doc_id sets
+    at = (1 + F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.greatest(F.length("text") - sample_chars + 1, F.lit(1)))).cast("int")
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(some, "doc_id")
+    rows = rows.select("doc_id", "toxic", F.xxhash64("doc_id", "text").alias("h"), F.substr(F.col("text"), at, F.lit(sample_chars)).alias("text"))
+    # documents that share a doc_id count once
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "text", "toxic")).alias("r")).select("r.*").collect()
     rows.sort(key=lambda r: (r["h"], r["text"]))
     return [r["text"] for r in rows], np.array([bool(r["toxic"]) for r in rows], bool)
 
