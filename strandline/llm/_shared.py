@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,16 +20,19 @@ CHUNK_BYTES = 1 << 21
 
 
 def session_of(df: DataFrame) -> SparkSession:
-    """The frame's session, with small Arrow batches."""
+    """The frame's session, with small Arrow batches unless it asks for its own size."""
     spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where the session names none."""
+    """The folder all executors share (``spark.checkpoint.dir``); a local one only where driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         local = tempfile.mkdtemp(prefix="strandline-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         folder = "file://" + local
@@ -36,16 +40,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the stage tables that this process wrote and did not delete.
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame) -> tuple[DataFrame, str]:
     """The frame written to the shared folder and read again (cuts lineage, survives lost executors), and its path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/strandline-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def stage_mark() -> int:
+    """A mark of the stage tables written so far; see ``forget_since``."""
+    return len(_WRITTEN)
+
+
+def forget_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Delete the stage tables written since ``mark`` but the one at ``keep``, whose rows no longer need them."""
+    for path in [p for p in _WRITTEN[mark:] if p != keep]:
+        forget(spark, path)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that ``stored`` wrote, once nothing reads it any more."""
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -166,6 +166,18 @@ def test_secret_scan(spark):
     assert found[7].spans == "" and found[6].n_linked == 0  # weak parts alone
 
 
+def test_secret_parts_of_any_length(spark):
+    """Weak parts whose first digit or capital comes late, and more matches than are folded at once."""
+    late = "a" * 22 + "1"
+    texts = [f"user=alice {late} http://x.example/a", f"user=alice {'g' * 90 + 'Q7' + 'g' * 9} http://x.example/a"]
+    found = {r.doc_id: r.spans.split(",") for r in secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert found[0] == ["user:0:10", "shorthex:11:34", "endpoint:35:53"]
+    assert found[1] == ["user:0:10", "blob:11:112", "endpoint:113:131"]
+    many = " ".join(f"password=secret{i:05d}" for i in range(1000))
+    r = secrets.scan_secrets(spark.createDataFrame([(0, many)], "doc_id bigint, text string")).first()
+    assert r.n_assign == 1000 and r.spans == ",".join(f"assign:{21 * i}:{21 * i + 20}" for i in range(1000))
+
+
 def test_encoding_equals_the_library():
     import sentencepiece
 
@@ -257,23 +269,54 @@ def test_language_identification(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
-def test_phrases_against_plain_parse():
+@pytest.mark.parametrize("block", [512, 7])
+def test_phrases_against_plain_parse(monkeypatch, block):
+    """One parse from left to right, wherever blocks end; long copies of the source span many blocks."""
+    monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(2)
-    source, texts = "".join(rng.choices("abc ", k=300)), ["".join(rng.choices("abcd ", k=rng.randint(0, 1500))) for _ in range(20)]
-    code_of = np.zeros(0x110000, np.uint8)
+    source = "".join(rng.choices("abc ", k=300))
+    texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 1500))) for _ in range(20)] + [source * 3, source[10:280], "d", ""]
+    code_of = np.zeros(0x110000, np.int32)
     code_of[[ord(c) for c in "abcd"]] = [3, 4, 5, 2]
     plain = lambda t: re.sub("[^abcd]+", " ", t).lstrip()
     codes, _, _ = langid.encode([source], code_of)
-    table = langid.parse_table(codes.tolist(), 6)
-    got = langid.phrases(*langid.encode(texts, code_of)[:2], [table], 6)[:, 0]
+    got = langid.phrases(*langid.encode(texts, code_of)[:2], [langid.ParseTable(codes.tolist())])[:, 0]
+    whole = plain(source)
     for text, n in zip(texts, got, strict=True):
-        count, flat = 0, plain(text)
-        for a in range(0, len(flat), langid.BLOCK):
-            rest = flat[a : a + langid.BLOCK]
+        count, rest = 0, plain(text)
+        while rest:
+            k = 1
+            while k < len(rest) and rest[: k + 1] in whole:
+                k += 1
+            rest, count = rest[k:], count + 1
+        assert count == n
+
+
+def test_language_decision(spark):
+    """The language of the fewest bits, with counts by plain string search."""
+    rows = [(3 * k + i, t, lang) for i, (lang, letters) in enumerate((("aa", "abcde"), ("bb", "acdefg"))) for k, t in enumerate(_toy_language(i, letters, 8))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    samples = langid.language_sample(frame, 100, 60_000, 200, 4_000_000)
+    source = {k: "\n".join(v).replace("\n", " ") for k, v in samples.items()}
+    got = {r.doc_id: r.lang_pred for r in langid.identify_languages(frame).collect()}
+    for i, text, _ in rows[:6]:
+        bits = {}
+        for name, whole in source.items():
+            count, rest = 0, text
             while rest:
-                k = next((k for k in range(len(rest), 0, -1) if rest[:k] in plain(source)), 1)
+                k = next((k for k in range(len(rest), 0, -1) if rest[:k] in whole), 1)
                 rest, count = rest[k:], count + 1
-        assert count == n
+            bits[name] = count * np.log(len(whole) + 2.0)
+        assert got[i] == min(sorted(bits), key=bits.get)
+
+
+def test_many_letters_keep_their_own_codes(spark):
+    """Two languages of 1,500 Han letters each: far more than one byte of codes."""
+    one, two = [chr(0x4E00 + i) for i in range(1500)], [chr(0x4E00 + 1500 + i) for i in range(1500)]
+    rows = [(2 * k + i, t, lang) for i, (lang, letters) in enumerate((("xx", one), ("yy", two))) for k, t in enumerate(_toy_language(i, letters, 40))]
+    out = langid.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert all(truth[r.doc_id] == r.lang_pred for r in out)
 
 
 def test_toxicity_held_out(spark):
@@ -293,6 +336,25 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
 
 
+def test_long_labelled_texts_teach():
+    """Labelled texts over the sample's length still teach, by a stretch."""
+    texts, toxic = [], []
+    rng = random.Random(6)
+    for i in range(200):
+        texts.append(" ".join(["zurbelt" if i % 2 and k % 5 == 0 else rng.choice(WORDS) for k in range(30)]))
+        toxic.append(bool(i % 2))
+    lexicon = toxicity.learn_lexicon(texts, np.array(toxic))
+    assert len(lexicon.keys) == 1 + sum(len("zurbelt") > k for k in toxicity.STEMS)  # the word and its beginnings
+
+
+def test_toxic_features_against_a_plain_count():
+    text = "You are an IDIOT, you scum!! x@y aaab 12"
+    x = toxicity.text_features([text, ""], toxicity.Lexicon())
+    words, size = ["You", "are", "an", "IDIOT", "you", "scum", "x", "y", "aaab"], len(text)
+    want = [np.log1p(9), 2 / 9, 2, 0, 0, 0, 0, 2 / 9, 2 / 9, 6 / sum(map(len, words)), 2 / size, 2 / size, 1 / 9, 1 / size, 2 / size]
+    assert np.allclose(x[0], want) and not x[1].any()
+
+
 def test_isotonic_rises():
     x, y = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4, 0.5]), np.array([0.0, 1.0, 0.0, 1.0, 1.0]))
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all()
