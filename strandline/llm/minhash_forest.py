@@ -1,12 +1,20 @@
 """MinHash near-duplicate groups with an LSH forest.
 
 Method: every distinct shingle set gets a 96-value MinHash signature. The forest
-reads it in 24 orders (trees) that share no value; two sets are neighbours in a
-tree when they agree in its 4 values (a pair at similarity 0.8 does in some tree
-with probability 1 - 3e-6). Such a region ties its members to its least member,
-however many it holds, so it costs as many rows as it has members. Candidate groups
-(components of those ties, ids only) are then confirmed on the full shingle
-sets, in blocks of bounded size, and the confirmed links make the groups.
+is 24 sorted orders of the signatures: order t compares values from 4 t on,
+round about. Sets that agree in an order's first 4 values are one region of it (a
+pair at similarity 0.8 shares a region with probability 1 - 3e-6). In each order
+a set meets its ``neighbours`` predecessors in its region, those of the longest
+common prefixes: a small region is compared whole at depth 4, in a large one the
+depth grows until about ``neighbours`` sets remain around each. A neighbour is a
+candidate when the whole signatures agree as often as those of a pair at
+``percent`` do in all but some 3e-7 of cases (five standard deviations).
+
+The orders are dealt by ranges and sorted within them, so no region is gathered,
+whatever its size; a pair that a range boundary cuts in one order meets in
+others. Candidate groups (components of candidates, ids only) are confirmed on
+the full shingle sets, in blocks of bounded size, and the confirmed links make
+the groups.
 
 Defined results: null or blank text has an empty set and is linked with nothing;
 exact copies are one set and always linked; rows with one doc_id are one
@@ -32,7 +40,7 @@ _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 
-_PRINT_SCHEMA = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>"
+_PRINT_SCHEMA = "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, keys array<bigint>, sig binary"
 _SET_SCHEMA = "doc_id bigint, grp bigint, chunks int, cc bigint, shingles binary"
 
 
@@ -81,10 +89,69 @@ def _prints(size: int):
                     k1[full] = np.add.reduceat(mix64(hashes), at)
                     k2[full] = np.add.reduceat(mix64(hashes ^ _XOR[0]), at)
                 keys = _tree_keys(signature >> np.uint64(32)).reshape(-1)
+                short = ((signature >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(count), int64(k1), int64(k2), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * TREES), int64(keys))],
-                    ["doc_id", "n_shingles", "k1", "k2", "keys"],
-                )
+                    [
+                        ids.slice(a, b - a), pa.array(count), int64(k1), int64(k2), pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * TREES), int64(keys)),
+                        pa.array([row.tobytes() for row in short], pa.binary()),
+                    ],
+                    ["doc_id", "n_shingles", "k1", "k2", "keys", "sig"],
+                )
+
+    return run
+
+
+def agreement(percent: int) -> int:
+    """Signature values in which a pair at ``percent`` agrees at least, but for five standard deviations."""
+    q = percent / 100
+    return max(BASE, int(np.floor(VALUES * q - 5 * np.sqrt(VALUES * q * (1 - q)))))
+
+
+def neighbour_ties(region: np.ndarray, order: np.ndarray, ids: np.ndarray, neighbours: int, least: int, known: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ties (least id of a group, other id) among rows sorted by (region, signature); rows under ``known`` are tied already.
+
+    ``order``: rows x VALUES signature values as this order reads them.
+    """
+    n = len(ids)
+    near = np.full(n, -1)
+    more: list[np.ndarray] = []
+    for j in range(1, min(neighbours, n - 1) + 1):
+        at = np.arange(max(j, known), n)
+        at = at[region[at] == region[at - j]]
+        if not len(at):
+            break  # rows of a region are adjacent
+        at = at[(order[at] == order[at - j]).sum(1) >= least]
+        first = near[at] < 0
+        near[at[first]] = at[first] - j
+        more.append(np.column_stack([at[~first], at[~first] - j]))
+    root = np.where(near >= 0, near, np.arange(n))
+    while (root != root[root]).any():
+        root = root[root]
+    head = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(head, root, ids)
+    lead = head[root]
+    a, b = [lead[lead != ids]], [ids[lead != ids]]
+    if more:
+        pairs = np.concatenate(more)
+        x, y = lead[pairs[:, 0]], lead[pairs[:, 1]]
+        other = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)])[x != y], axis=0)
+        a.append(other[:, 0])
+        b.append(other[:, 1])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _ties(neighbours: int, least: int):
+    """Candidates among the sorted rows (region, order, rep) of a range."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        region, ids, order = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8)
+        for batch in batches:
+            known = len(ids)
+            region, ids = np.append(region, np.asarray(batch.column(0))), np.append(ids, np.asarray(batch.column(2)))
+            order = np.concatenate([order, np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, VALUES)])
+            a, b = neighbour_ties(region, order, ids, neighbours, least, known)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            region, ids, order = region[-neighbours:], ids[-neighbours:], order[-neighbours:]
 
     return run
 
@@ -155,28 +222,38 @@ def _verify(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region_max: int = 4096, block_shingles: int = 250_000) -> DataFrame:
+def candidate_ties(reps: DataFrame, percent: int, neighbours: int) -> DataFrame:
+    """(a, b): ids of distinct sets ``reps`` (rep, keys, sig) that are neighbours in some order of the forest."""
+    spark = reps.sparkSession
+    rows = reps.select("rep", F.posexplode("keys").alias("tree", "region"))
+    # stored, so that the join reads two plain exchanges and Spark can split a large region
+    regions, _ = stored(rows.groupBy("region").agg(F.count("*").alias("n")).where("n > 1").select("region"))
+    hits = rows.join(regions, "region").join(reps.select("rep", "sig"), "rep")
+    order = F.expr(f"concat(substring(sig, {BASE} * tree + 1), substring(sig, 1, {BASE} * tree))")
+    ordered = hits.select("region", order.alias("order"), "rep")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = ordered.repartitionByRange(ranges, "region", "order", "rep").sortWithinPartitions("region", "order", "rep")
+    return ordered.mapInArrow(_ties(neighbours, agreement(percent)), "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, neighbours: int = 32, block_shingles: int = 250_000) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
     ``percent``: least shared part of two distinct shingle sets, in hundredths of their union.
-    ``region_max``: has no effect on the result or the method; regions of every size keep their ties.
+    ``neighbours``: predecessors that a set meets in each sorted order.
     ``block_shingles``: shingles that are compared in one task; larger candidate groups are compared block against block.
     """
     spark = session_of(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints, _ = stored(texts.mapInArrow(_prints(shingle), _PRINT_SCHEMA))
     known = prints.where("doc_id is not null and n_shingles > 0")
-    reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"), F.max("n_shingles").alias("n"))
-
-    # one row for each tree of a distinct set
-    rows = reps.select("rep", F.explode("keys").alias("region"))
-    regions = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).where("n > 1")
-    edges = rows.join(regions, "region").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    groups, _ = stored(connected_components(edges).withColumnRenamed("component", "cc"))
+    reps = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("keys", "sig"), "doc_id").alias("own"), F.max("n_shingles").alias("n"))
+    reps, _ = stored(reps.select("k1", "k2", "rep", "own.keys", "own.sig", "n"))
+    groups = connected_components(candidate_ties(reps, percent, neighbours)).withColumnRenamed("component", "cc")
 
     weight = groups.join(reps.select(F.col("rep").alias("node"), "n"), "node")
-    sized = weight.groupBy("cc").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("chunks"))
-    total = weight.agg(F.sum("n")).first()[0] or 0
+    sized, _ = stored(weight.groupBy("cc").agg(F.ceil(F.sum("n") / F.lit(block_shingles)).cast("int").alias("chunks"), F.sum("n").alias("weight")))
+    total = sized.agg(F.sum("weight")).first()[0] or 0
     buckets = max(1, 4 * total // block_shingles)
     members = groups.join(sized, "cc").select(
         F.col("node").alias("doc_id"), F.when(F.col("chunks") > 1, F.col("cc")).otherwise(-1 - F.pmod(F.xxhash64("cc"), F.lit(buckets))).alias("grp"), "chunks", "cc"
@@ -185,7 +262,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, region
     sets = sets.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "shingles"), F.col("chunks")).cast("int"))
     blocks = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("grp", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "cc", "doc_id", "chunk", "shingles")
-    links, _ = stored(blocks.groupBy("grp", "i", "j").applyInPandas(_verify(percent), "a bigint, b bigint"))
+    links = blocks.groupBy("grp", "i", "j").applyInPandas(_verify(percent), "a bigint, b bigint")
     found = connected_components(links)
 
     answer = prints.select("doc_id", "n_shingles", "k1", "k2").join(reps.select("k1", "k2", "rep"), ["k1", "k2"], "left")

@@ -76,23 +76,55 @@ def test_near_duplicates(docs, rows, size):
     assert not all(w[2] for w in want.values())
 
 
-def test_deeper_regions(docs, rows):
-    """Regions over the limit are read deeper; exact copies and close copies stay together."""
-    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, 2, 80, region_max=2).collect()}
+def test_one_neighbour(docs, rows):
+    """Exact copies stay together even where a set meets one other in each order."""
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(docs, 2, 80, neighbours=1).collect()}
     assert got[50] == got[51] == got[3] == 3 and got[54] == got[55] == 54
 
 
-def test_recall_in_large_regions(spark):
-    """300 pairs that share 80 of 100 shingles: none is lost where every region is over the limit."""
+def test_recall_of_pairs(spark):
+    """300 pairs that share 80 of 100 shingles: none is lost."""
     rows = []
     for k in range(300):
         both = [f"w{k}x{i}" for i in range(80)]
         rows += [(2 * k, " ".join([*both, *(f"a{k}x{i}" for i in range(10))])), (2 * k + 1, " ".join([*both, *(f"b{k}x{i}" for i in range(10))]))]
     pairs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(pairs, 1, 80, region_max=1).collect()}
+    got = {r.doc_id: r.component_id for r in minhash_forest.near_duplicates(pairs, 1, 80, neighbours=1).collect()}
     assert [k for k in range(300) if not got[2 * k] == got[2 * k + 1] == 2 * k] == []
 
 
+def test_recall_in_a_hot_region():
+    """3,000 sets that share a third to a half of a template; the 1,000 planted pairs at 0.8 among them are found by neighbours."""
+    rng = np.random.default_rng(3)
+    template = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    sets = []
+    for k in range(2000):
+        own = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        sets.append(np.concatenate([template, own]))
+        if k < 1000:  # 89 of 100 shared: 89 of 111
+            sets.append(np.concatenate([template, own[:29], rng.integers(0, 2**63, 11, dtype=np.uint64)]))
+    signature = np.stack([((s[:, None] ^ minhash_forest._XOR) * minhash_forest._MUL).min(0) for s in sets])
+    keys = minhash_forest._tree_keys(signature >> np.uint64(32))
+    short = ((signature >> np.uint64(32)) & np.uint64(255)).astype(np.uint8)
+    ids = np.arange(len(sets))
+    root = ids.copy()
+    hot = 0
+    for t in range(minhash_forest.TREES):
+        order = np.roll(short, -minhash_forest.BASE * t, axis=1)
+        at = np.lexsort((ids, *order.T[::-1], keys[:, t]))
+        hot = max(hot, np.unique(keys[:, t], return_counts=True)[1].max())
+        a, b = minhash_forest.neighbour_ties(keys[at, t], order[at], ids[at], 32, minhash_forest.agreement(80))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            root[max(x, y)] = min(x, y)
+    top = lambda x: x if root[x] == x else top(root[x])
+    found = np.mean([top(2 * k) == top(2 * k + 1) for k in range(1000)])
+    assert hot > 200 and found >= 0.9
+
+
 def test_linked_against_all_pairs():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
