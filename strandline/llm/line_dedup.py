@@ -48,7 +48,8 @@ def dedup_lines(docs: DataFrame, lines_as: str = "n_lines", removed_as: str = "n
     ``lines_as``, ``removed_as``: names of those columns; columns of ``docs`` that have them are replaced.
     """
     columns = docs.columns
-    base = docs.select("doc_id", "text", F.struct(*[docs[c] for c in columns]).alias("sl_row")).withColumn("tkey", F.xxhash64("text"))
+    others = [docs[c] for c in columns if c not in ("doc_id", "text")]  # the text is shuffled once
+    base = docs.select("doc_id", "text", F.struct(F.lit(0).alias("sl_none"), *others).alias("sl_row")).withColumn("tkey", F.xxhash64("text"))
     joined = base.join(repeated_windows(docs), ["doc_id", "tkey"], "left")
     lines = F.split("text", "\n", -1)
     covered = F.flatten(F.transform("spots", lambda p: F.array(p, p + 1, p + 2)))
@@ -59,6 +60,6 @@ def dedup_lines(docs: DataFrame, lines_as: str = "n_lines", removed_as: str = "n
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size("sl_lines")).cast("bigint")
     n_removed = F.coalesce(F.size("sl_lines") - F.when(F.col("sl_stay").isNotNull(), F.size("sl_stay")), F.lit(0)).cast("bigint")
     joined = joined.withColumns({"sl_n_lines": n_lines, "sl_n_removed": n_removed})
-    fresh = {"text": F.col("sl_text"), "n_chars": F.length("sl_text").cast("bigint")}
+    fresh = {"doc_id": F.col("doc_id"), "text": F.col("sl_text"), "n_chars": F.length("sl_text").cast("bigint")}
     kept_columns = [fresh[c].alias(c) if c in fresh else F.col("sl_row")[c].alias(c) for c in columns if c not in (lines_as, removed_as)]
     return joined.select(*kept_columns, F.col("sl_n_lines").alias(lines_as), F.col("sl_n_removed").alias(removed_as))
