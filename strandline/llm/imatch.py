@@ -6,19 +6,24 @@ ln(N / df), lies in the band. As df >= N * exp(-idf_high) for each of them, the
 lexicon has at most exp(idf_high) times the mean number of distinct terms of a
 document, however large the corpus: that bounds what is sent to the tasks.
 
-A text's distinct lexicon terms, sorted, are hashed in ``SUBSETS`` randomised
-sub-lexicons at three sampling rates from 1 / (number of terms) down, so that a
-sub-lexicon holds about one term of the text or none, at any length. The fingerprint is
-the level and those hashes; the likeness of two is twice the number of equal
-hashes over the sub-lexicons that hold a term, of the one and of the other.
+The randomised lexicons are fixed for all texts: ``SUBSETS`` draws, each of which
+gives nested sub-lexicons that keep 1, 1/2, 1/4, ... of the lexicon (level 0, 1,
+2, ...). A text's distinct terms in a sub-lexicon, sorted, are hashed in that
+order. Its fingerprint gives these hashes at three levels of each draw, from the
+one that is expected to keep one of its terms: at lower levels almost any edit
+changes a hash, at higher ones no term is left. The likeness of two is, over the
+levels both give, twice the number of equal hashes over the sub-lexicons that
+hold a term, of the one and of the other (texts that differ eightfold in their
+numbers of terms, so with a likeness of an eighth at most, have 0).
 
 The edited text of a document (its last quarter replaced by the beginning of the
-next document) needs the next document: rows are dealt into ranges of doc_id,
-and the first document of each range is also sent to the range before.
+next document) needs the next document: rows are dealt into ranges of doc_id, as
+many as the session has shuffle partitions, and read in order; the first document
+of each range is also sent to the range before.
 
 Defined results: null text counts as empty; a text without lexicon terms is
 fingerprinted by all its terms; equal fingerprints have likeness 1, also empty
-ones; documents with one doc_id come in the order of their texts; a null doc_id
+ones; documents with one doc_id come in the order of their packed texts; a null doc_id
 comes first; a single document is its own next one.
 """
 
@@ -38,6 +43,7 @@ from strandline.llm._shared import Words, int64, mix64, session_of, text_chunks
 SUBSETS = 48
 LEVELS = 3
 _SALT = np.random.default_rng(5).integers(0, 2**63, SUBSETS, dtype=np.uint64)
+_ORDER = np.uint64(0x9E3779B97F4A7C15)
 #: (term, document) counts a task holds before it adds them up.
 HELD = 2_000_000
 NO_ID = -(2**63)
@@ -113,14 +119,21 @@ def fingerprints(texts: list[bytes], lexicon: np.ndarray) -> tuple[np.ndarray, n
         full = np.flatnonzero(count)
         head = np.searchsorted(doc, full)
         own = mix64(term ^ np.uint64(0x1234567))
+        size = int(np.diff(np.append(head, len(doc))).max())
+        power = np.cumprod(np.append(np.uint64(1), np.full(size, _ORDER)), dtype=np.uint64)
         for j in range(SUBSETS):
             draw = mix64(term ^ _SALT[j])
             for k in range(LEVELS):
                 shift = (64 - (level + k))[doc].astype(np.uint64)
                 chosen = np.where(shift < 64, draw >> np.minimum(shift, np.uint64(63)), np.uint64(0)) == 0
-                total = np.add.reduceat(np.where(chosen, own, np.uint64(0)), head)
-                some = np.add.reduceat(chosen.astype(np.int64), head) > 0
-                out[full, k, j] = np.where(some, 1 + mix64(total) % np.uint64(65535), 0).astype(np.uint16)
+                at = np.flatnonzero(chosen)
+                if not len(at):
+                    continue
+                held = np.searchsorted(at, head)
+                some = np.diff(np.append(held, len(at))) > 0
+                rank = np.arange(len(at)) - np.repeat(held[some], np.diff(np.append(held[some], len(at))))
+                total = np.add.reduceat(own[at] * power[rank], held[some])
+                out[full[some], k, j] = (1 + mix64(total) % np.uint64(65535)).astype(np.uint16)
     return level, out
 
 
@@ -140,6 +153,18 @@ def _text_of(level: int, hashes: np.ndarray) -> str:
     return f"{level}:{hashes.astype('>u2').tobytes().hex()}"
 
 
+def _least(bounds: np.ndarray):
+    """The least id of each range in a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.sort(np.asarray(batch.column(0)))
+            place, first = np.unique(np.searchsorted(bounds, ids, "right"), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(ids[first])], ["range", "head"])
+
+    return run
+
+
 def _deal(bounds: np.ndarray, heads: dict[int, int]):
     """Each row with its range; the first document of a range also for the range before. Texts travel compressed."""
 
@@ -193,19 +218,18 @@ def _compare(terms: np.ndarray):
     return run
 
 
-def fingerprint_documents(docs: DataFrame, idf_low: float = 3.9, idf_high: float = 7.6, range_rows: int = 8000) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, idf_low: float = 3.9, idf_high: float = 7.6) -> DataFrame:
     """The columns of ``_SCHEMA`` for every row of ``docs`` (doc_id, text)."""
     spark = session_of(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = lexicon(docs, idf_low, idf_high)
 
     ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // range_rows))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges) if ranges > 1 else []
     bounds = np.unique(np.array(cuts, np.float64).astype(np.int64))
     # the least id of each range that has one: as many rows as there are ranges
-    edges = F.array(*[F.lit(int(b)) for b in bounds]) if len(bounds) else F.array().cast("array<bigint>")
-    low = ids.groupBy(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))).alias("range")).agg(F.min("doc_id").alias("head")).orderBy("range").collect()
+    low = ids.mapInArrow(_least(bounds), "range int, head bigint").groupBy("range").agg(F.min("head").alias("head")).orderBy("range").collect()
     heads = {r["head"]: low[i - 1]["range"] for i, r in enumerate(low)}
     dealt = docs.mapInArrow(_deal(bounds, heads), "range int, guest boolean, doc_id bigint, packed binary")
     ordered = dealt.repartitionById(max(1, ranges), F.col("range")).sortWithinPartitions("range", "guest", "doc_id", "packed")

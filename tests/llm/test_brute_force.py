@@ -269,7 +269,7 @@ def test_fingerprints(docs, rows):
         text, after = text or "", order[(k + 1) % len(order)][1] or ""
         n = len(text) // 4
         want[i] = (len(text), _sha(text[: len(text) - n] + after[:n]))
-    out = imatch.fingerprint_documents(docs, idf_low=0.5, range_rows=7).collect()
+    out = imatch.fingerprint_documents(docs, idf_low=0.5).collect()
     assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in out} == want
     prints = {}
     for r in out:
@@ -279,6 +279,33 @@ def test_fingerprints(docs, rows):
     assert np.mean([r.near_edited for r in long]) > np.mean([r.near_next for r in long]) + 0.1
 
 
+def test_likeness_against_plain_sublexicons(docs, rows):
+    """Hashes of sorted terms in randomised sub-lexicons, one text and one sub-lexicon at a time."""
+    texts = [(t or "").encode() for _, t in rows if t]
+    level, got = imatch.fingerprints(texts, np.zeros(0, np.uint64))
+    for i, text in enumerate(texts):
+        words = minhash_forest.Words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=True)
+        terms = sorted(set(words.hashes.tolist()))
+        assert level[i] == (int(np.ceil(np.log2(len(terms)))) if terms else 0)
+        for j in (0, 17, 47):
+            for k in range(imatch.LEVELS):
+                keep = [t for t in terms if int(imatch.mix64(np.array([t], np.uint64) ^ imatch._SALT[j])[0]) < 2 ** (64 - int(level[i]) - k)]
+                total = sum(int(imatch.mix64(np.array([t], np.uint64) ^ np.uint64(0x1234567))[0]) * pow(int(imatch._ORDER), r, 2**64) for r, t in enumerate(keep)) % 2**64
+                assert got[i, k, j] == (1 + int(imatch.mix64(np.array([total], np.uint64))[0]) % 65535 if keep else 0)
+    a, b = got[2:3], got[3:4]
+    cells = [(x, y, s) for x in range(imatch.LEVELS) for y in range(imatch.LEVELS) for s in range(imatch.SUBSETS) if level[2] + x == level[3] + y]
+    equal = sum(a[0, x, s] == b[0, y, s] != 0 for x, y, s in cells)
+    held = sum(int(a[0, x, s] != 0) + int(b[0, y, s] != 0) for x, y, s in cells)
+    assert imatch.likeness(level[2:3], a, level[3:4], b)[0] == pytest.approx(2 * equal / max(held, 1))
+    assert imatch.likeness(level[2:3], a, level[2:3], a)[0] == 1
+
+
+def test_one_document_is_its_own_next(spark):
+    r = imatch.fingerprint_documents(spark.createDataFrame([(5, "a b c d e f g h")], "doc_id bigint, text string")).first()
+    text = "a b c d e f g h"
+    assert (r.n_chars, r.edited_sha256, r.near_next) == (15, _sha(text[:12] + text[:3]), 1.0)
+
+
 def test_lexicon_counts(docs, rows):
     n = len(rows)
     df = Counter(w for _, t in rows for w in set(_words(t, True)))
