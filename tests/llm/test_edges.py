@@ -9,7 +9,7 @@ from strandline.llm.queries import SENTENCEPIECE_MODEL  # noqa: E402
 from .fixtures import prose  # noqa: E402
 
 #: Names that operators use inside.
-CLASHING = ["tkey", "h", "g", "n", "s", "k1", "k2", "spans", "paths", "base", "weak", "component_id", "kept", "host", "open", "score", "rep", "term", "df", "lines", "spots", "grp", "chunks", "gone", "range", "guest"]
+CLASHING = ["tkey", "h", "g", "n", "s", "k1", "k2", "spans", "paths", "base", "weak", "component_id", "kept", "host", "open", "score", "rep", "term", "df", "lines", "spots", "grp", "chunks", "gone", "range", "guest", "sl_gone", "sl_lines", "sl_removed", "sl_row", "sl_text", "ids_", "edits", "covered", "grams"]
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
