@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, line_dedup, minhash_forest, queries, sentencepiece_lattice, toxicity
-from strandline.llm._shared import stored
+from strandline.llm._shared import forget_since, stage_mark, stored
 
 #: Words of a shingle, and the shared part of two documents' shingles that makes them near-duplicates.
 SHINGLE, PERCENT = 5, 80
@@ -22,17 +22,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows lose all but their first occurrence; a document with no line left goes."""
-    kept = line_dedup.dedup_lines(docs, "sl_lines", "sl_removed")
-    return kept.where("sl_lines = 0 or sl_removed < sl_lines").select(*docs.columns)
+    lines, removed = _free("sl_lines", docs), _free("sl_removed", docs)
+    kept = line_dedup.dedup_lines(docs, lines, removed)
+    return kept.where((F.col(lines) == 0) | (F.col(removed) < F.col(lines))).select(*docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (the least doc_id)."""
     groups = minhash_forest.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("sl_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("sl_gone"), "left_anti")
+    gone = _free("sl_gone", docs)
+    return docs.join(groups.where("not kept").select(F.col("doc_id").alias(gone)).distinct(), F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +61,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs, _ = stored(stage(spark, docs, sf_dir))
+    """All stages one after another; of the tables they store only the last stage's rows stay."""
+    docs, begin = spark.read.parquet(f"{sf_dir}/documents.parquet"), stage_mark()
+    for _, stage in STAGES:
+        docs, path = stored(stage(spark, docs, sf_dir))
+        forget_since(spark, begin, path)
     return docs
