@@ -4,7 +4,7 @@ A suffix automaton of labelled text of each language gives longest matches. A
 document is parsed greedily into phrases, each the longest string that occurs in
 the language's text; the language that needs the fewest phrases, normalised by
 the size of its text, wins. Letters are lower-cased, every run of other
-characters counts as one space; every letter keeps its own code.
+characters counts as one space; every letter of the samples keeps its own code.
 
 Whole texts are parsed, side by side in blocks of ``BLOCK`` characters: each
 block is first parsed from a fresh start, then again from the state that the
@@ -12,7 +12,9 @@ block before it leaves, until both parses are in one state, from where on they
 are the same. The phrases are those of one parse from left to right.
 
 An automaton's transitions are a hash table of about 4 MB for the 60,000
-characters of a language. Bounds of the labelled sample (parameters):
+characters of a language, or a dense table where those of all languages take
+``DENSE_BYTES`` at most (few languages of small alphabets); both give the same
+parse. Bounds of the labelled sample (parameters):
 ``languages`` languages, those with most learnable documents (of equal ones the
 first by name); about ``sample_docs`` documents and at most ``sample_chars``
 characters for each, and ``total_chars`` characters in all; of a long text a
@@ -32,12 +34,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._shared import mix64, session_of, worker_cache
+from strandline.llm._shared import session_of, worker_cache
 
-BLOCK = 512
+BLOCK = 256
 #: Characters that are parsed at a time.
 AT_ONCE = 2_000_000
 SPACE = 0
+#: Bytes that dense tables of all languages together may take in a Python worker.
+DENSE_BYTES = 200_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -76,61 +80,84 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 class ParseTable:
-    """Transitions of a suffix automaton as an open-addressed hash table, probed for many (state, code) at once."""
+    """Transitions of a suffix automaton over codes below ``alphabet``, probed for many (state, code) at once.
 
-    def __init__(self, codes: list[int]):
+    An open-addressed hash table of 64-bit entries: state * alphabet + code, and the next state in the low ``NEXT`` bits.
+    """
+
+    NEXT = np.uint64(24)
+    FREE = np.uint64(2**64 - 1)
+    ODD = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, codes: list[int], alphabet: int):
         step = suffix_automaton(codes)
         sizes = [len(x) for x in step]
         state = np.repeat(np.arange(len(step), dtype=np.uint64), sizes)
         code = np.fromiter((c for x in step for c in x), np.uint64, sum(sizes))
-        target = np.fromiter((t for x in step for t in x.values()), np.int32, sum(sizes))
+        target = np.fromiter((t for x in step for t in x.values()), np.uint64, sum(sizes))
+        self.root = np.zeros(alphabet, np.uint64)
+        self.root[list(step[0])] = list(step[0].values())
         bits = max(4, int(2 * len(code)).bit_length())
-        self.mask = np.int64((1 << bits) - 1)
-        self.key, self.to = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)  # key 0: free
-        key = (state << np.uint64(32) | code) + np.uint64(1)
-        slot = self._slot(key)
+        self.alphabet, self.shift, self.mask = np.uint64(alphabet), np.uint64(64 - bits), np.uint64((1 << bits) - 1)
+        self.entry = np.full(1 << bits, self.FREE)
+        key = state * self.alphabet + code
+        slot = (key * self.ODD) >> self.shift
         todo = np.arange(len(key))
         while len(todo):
-            free = self.key[slot[todo]] == 0
-            first = np.unique(slot[todo[free]], return_index=True)[1]
+            free = self.entry[slot[todo]] == self.FREE
+            at, first = np.unique(slot[todo[free]], return_index=True)
             won = todo[free][first]
-            self.key[slot[won]], self.to[slot[won]] = key[won], target[won]
+            self.entry[at] = key[won] << self.NEXT | target[won]
             placed = np.zeros(len(key), bool)
             placed[won] = True
             todo = todo[~placed[todo]]
-            slot[todo] = (slot[todo] + 1) & self.mask
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return mix64(key).view(np.int64) & self.mask
-
-    def _find(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Next states, -1 where there is none."""
-        key = (state.astype(np.uint64) << np.uint64(32) | code.astype(np.uint64)) + np.uint64(1)
-        slot = self._slot(key)
-        held = self.key[slot]
-        out = np.where(held == key, self.to[slot], np.int32(-1))
-        open_ = np.flatnonzero((held != key) & (held != 0))
-        while len(open_):
-            slot[open_] = (slot[open_] + 1) & self.mask
-            held = self.key[slot[open_]]
-            hit = held == key[open_]
-            out[open_[hit]] = self.to[slot[open_[hit]]]
-            open_ = open_[~hit & (held != 0)]
-        return out
-
-    def advance(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(state after the code, phrases that end on the way); state 0 is between phrases."""
-        to = self._find(state, code)
-        stuck = np.flatnonzero(to < 0)
-        ended = np.zeros(len(state), np.int32)
+            slot[todo] = (slot[todo] + np.uint64(1)) & self.mask
+
+    def advance(self, state: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """States after the code (0: between phrases); phrases that end on the way are added to ``count``."""
+        key = state * self.alphabet + code
+        slot = (key * self.ODD) >> self.shift
+        held = self.entry[slot]
+        to = held & np.uint64((1 << int(self.NEXT)) - 1)
+        stuck = np.flatnonzero(held >> self.NEXT != key)
         if len(stuck):
-            again = stuck[state[stuck] > 0]
-            ended[again] = 1
-            to[again] = self._find(np.zeros(len(again), np.int32), code[again])
-            alone = stuck[to[stuck] < 0]  # a code that the language's text lacks is a phrase
-            ended[alone] += 1
-            to[alone] = 0
-        return to, ended
+            probing = stuck[held[stuck] != self.FREE]
+            while len(probing):
+                slot[probing] = (slot[probing] + np.uint64(1)) & self.mask
+                held = self.entry[slot[probing]]
+                hit = held >> self.NEXT == key[probing]
+                to[probing[hit]] = held[hit] & np.uint64((1 << int(self.NEXT)) - 1)
+                key[probing[hit]] = self.FREE  # settled
+                probing = probing[~hit & (held != self.FREE)]
+            stuck = stuck[key[stuck] != self.FREE]
+            fresh = self.root[code[stuck]]  # a phrase begins here; a code that the language's text lacks is one
+            to[stuck] = fresh
+            count[stuck] += (state[stuck] > 0).astype(np.int32) + (fresh == 0)
+        return to
+
+
+class DenseTable:
+    """The same as ``ParseTable`` with one cell for each (state, code): 4 * next state + phrases that end on the way."""
+
+    def __init__(self, codes: list[int], alphabet: int):
+        step = suffix_automaton(codes)
+        cells = np.empty((len(step), alphabet), np.uint32)
+        cells[:] = [4 * step[0][c] + 1 if c in step[0] else 2 for c in range(alphabet)]
+        cells[0] = [4 * step[0][c] if c in step[0] else 1 for c in range(alphabet)]
+        rows = np.repeat(np.arange(len(step)), [len(x) for x in step])
+        cells[rows, np.fromiter((c for x in step for c in x), np.int64, len(rows))] = np.fromiter((4 * v for x in step for v in x.values()), np.int64, len(rows))
+        self.cells, self.alphabet = cells.reshape(-1), np.uint64(alphabet)
+
+    def advance(self, state: np.ndarray, code: np.ndarray, count: np.ndarray) -> np.ndarray:
+        got = self.cells[state * self.alphabet + code]
+        count += (got & np.uint32(3)).astype(np.int32)
+        return (got >> np.uint32(2)).astype(np.uint64)
+
+
+def tables_of(coded: list[list[int]], alphabet: int) -> list[DenseTable] | list[ParseTable]:
+    """A table for each language; dense ones (faster, same results) where all of them are small."""
+    dense = sum(2 * 4 * (len(c) + 1) * alphabet for c in coded) <= DENSE_BYTES
+    return [(DenseTable if dense else ParseTable)(c, alphabet) for c in coded]
 
 
 def letters() -> np.ndarray:
@@ -153,10 +180,10 @@ def encode(texts: list[str], code_of: np.ndarray) -> tuple[np.ndarray, np.ndarra
         parts.append(code[keep])
     begins = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=begins[1:])
-    return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), begins, np.array(counts, np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), begins, np.array(counts, np.int64)
 
 
-def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[ParseTable]) -> np.ndarray:
+def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[DenseTable] | list[ParseTable]) -> np.ndarray:
     """Phrases that each text (row) needs in each language (column)."""
     sizes = np.diff(begins)
     blocks = -(-sizes // BLOCK)
@@ -169,29 +196,29 @@ def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[ParseTable]) ->
     if not len(owner):
         return out
     follows = np.append(owner[1:] == owner[:-1], False)  # the next block is of the same text
+    deep = int(filled.max())
+    steps = codes[np.minimum(head[order] + np.arange(deep)[:, None], len(codes) - 1)]
+    back = np.argsort(order)
     for k, table in enumerate(tables):
-        states, counts = np.zeros((BLOCK, len(owner)), np.int32), np.zeros((BLOCK, len(owner)), np.int32)
-        state, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int32)
-        for t in range(int(filled.max())):
+        states, counts = np.zeros((deep, len(owner)), np.uint32), np.zeros((deep, len(owner)), np.int32)
+        state, count = np.zeros(len(owner), np.uint64), np.zeros(len(owner), np.int32)
+        for t in range(deep):
             n = live[t]
-            at = order[:n]
-            state[:n], ended = table.advance(state[:n], codes[head[at] + t])
-            count[:n] += ended
-            states[t, at], counts[t, at] = state[:n], count[:n]
-        fresh_last = states[filled - 1, np.arange(len(owner))]
-        last, total = fresh_last.copy(), counts[filled - 1, np.arange(len(owner))]
+            state = table.advance(state[:n], steps[t, :n], count[:n])
+            states[t, :n], counts[t, :n] = state, count[:n]
+        fresh_last = states[filled - 1, back]
+        last, total = fresh_last.copy(), counts[filled - 1, back]
         fresh_total = total.copy()
         # parse on from where the block before really ends, until the fresh parse is met
         redo = np.flatnonzero(follows & (last > 0)) + 1
         while len(redo):
-            at, state, count, before = redo, last[redo - 1], np.zeros(len(redo), np.int32), last[redo]
+            at, state, count, before = redo, last[redo - 1].astype(np.uint64), np.zeros(len(redo), np.int32), last[redo]
             t = 0
             while len(at):
-                state, ended = table.advance(state, codes[head[at] + t])
-                count = count + ended
-                met = state == states[t, at]
+                state = table.advance(state, codes[head[at] + t], count)
+                met = state == states[t, back[at]]
                 here = at[met]
-                total[here], last[here] = count[met] + fresh_total[here] - counts[t, here], fresh_last[here]
+                total[here], last[here] = count[met] + fresh_total[here] - counts[t, back[here]], fresh_last[here]
                 ends = ~met & (filled[at] == t + 1)
                 total[at[ends]], last[at[ends]] = count[ends], state[ends]
                 on = ~met & ~ends
@@ -203,14 +230,19 @@ def phrases(codes: np.ndarray, begins: np.ndarray, tables: list[ParseTable]) ->
     return out
 
 
-def _model(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[ParseTable], np.ndarray]:
-    """Languages, code of each code point (a letter's own number), parse tables, log sizes."""
+def _model(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, list[DenseTable] | list[ParseTable], np.ndarray]:
+    """Languages, code of each code point (every letter of the samples has its own), parse tables, log sizes."""
     cache, key = worker_cache(), ("langid", hash(tuple((k, len(v), hash(tuple(v))) for k, v in sorted(samples.items()))))
     if key not in cache:
-        code_of = np.where(letters(), np.arange(0x110000, dtype=np.int32), np.int32(SPACE))
+        alpha = letters()
+        used = np.unique(np.concatenate([np.frombuffer("".join(v).lower().encode("utf-32-le", "surrogatepass"), np.uint32) for v in samples.values()]))
+        used = used[alpha[used]]
+        code_of = np.zeros(0x110000, np.uint64)
+        code_of[alpha] = 1  # a letter of no sample is a phrase in every language
+        code_of[used] = 2 + np.arange(len(used), dtype=np.uint64)
         names = sorted(samples)
         coded = [encode(["\n".join(samples[k])], code_of)[0].tolist() for k in names]
-        cache[key] = (names, code_of, [ParseTable(c) for c in coded], np.log(np.array([len(c) + 2.0 for c in coded])))
+        cache[key] = (names, code_of, tables_of(coded, len(used) + 2), np.log(np.array([len(c) + 2.0 for c in coded])))
     return cache[key]
 
 

@@ -328,18 +328,19 @@ def test_language_identification(spark):
     assert all(0 <= r.score <= 1 for r in out)
 
 
-@pytest.mark.parametrize("block", [512, 7])
-def test_phrases_against_plain_parse(monkeypatch, block):
+@pytest.mark.parametrize("table", [langid.ParseTable, langid.DenseTable])
+@pytest.mark.parametrize("block", [256, 7])
+def test_phrases_against_plain_parse(monkeypatch, block, table):
     """One parse from left to right, wherever blocks end; long copies of the source span many blocks."""
     monkeypatch.setattr(langid, "BLOCK", block)
     rng = random.Random(2)
     source = "".join(rng.choices("abc ", k=300))
     texts = ["".join(rng.choices("abcd ", k=rng.randint(0, 1500))) for _ in range(20)] + [source * 3, source[10:280], "d", ""]
-    code_of = np.zeros(0x110000, np.int32)
+    code_of = np.zeros(0x110000, np.uint64)
     code_of[[ord(c) for c in "abcd"]] = [3, 4, 5, 2]
     plain = lambda t: re.sub("[^abcd]+", " ", t).lstrip()
     codes, _, _ = langid.encode([source], code_of)
-    got = langid.phrases(*langid.encode(texts, code_of)[:2], [langid.ParseTable(codes.tolist())])[:, 0]
+    got = langid.phrases(*langid.encode(texts, code_of)[:2], [table(codes.tolist(), 6)])[:, 0]
     whole = plain(source)
     for text, n in zip(texts, got, strict=True):
         count, rest = 0, plain(text)
