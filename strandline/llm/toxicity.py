@@ -36,7 +36,7 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine euch ihr tu
 #: Beginnings of words that may enter the learned lexicon, in bytes.
 STEMS = (4, 5, 6, 7)
 #: Texts that the driver looks at together while fitting.
-DRIVER_TEXTS = 200
+DRIVER_TEXTS = 50
 #: Words within which a second-person word is near.
 NEAR = 5
 
