@@ -91,20 +91,23 @@ def encode(x: np.ndarray, y: np.ndarray, z: np.ndarray, runs: np.ndarray, alphas
     return np.tanh(mean_z), mean_z, np.where(spread > 0, 1 - sse / np.where(spread > 0, spread, 1), 0.0)
 
 
-def encode_groups(rows: DataFrame, keys: list[str], targets: list[str]) -> DataFrame:
-    """keys, target, r, z, r2 from rows of (keys, run, scan, x, nuisance, y): arrays of doubles, y as long as ``targets``."""
+def encode_groups(rows: DataFrame, keys: list[str], targets: list[str] | None) -> DataFrame:
+    """keys, target, r, z, r2 from rows of (keys, run, scan, x, nuisance, y): arrays of doubles, y as long as ``targets``.
+
+    Without ``targets`` y may differ in length between groups, and the target's place in it is given as ``position``.
+    """
     kinds = dict(rows.dtypes)
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["run", "scan"])
         r, z, r2 = encode(*(np.stack(frame[c].to_numpy()) for c in ("x", "y", "nuisance")), frame["run"].to_numpy())
-        out = pd.DataFrame({"target": targets, "r": r, "z": z, "r2": r2})
+        out = pd.DataFrame({"position": np.arange(len(r)), "r": r, "z": z, "r2": r2} if targets is None else {"target": targets, "r": r, "z": z, "r2": r2})
         for name, value in zip(reversed(keys), reversed(key), strict=True):
             out.insert(0, name, value)
         return out
 
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "target string, r double, z double, r2 double"])
-    return rows.groupBy(*keys).applyInPandas(run, schema)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "position int" if targets is None else "target string", "r double, z double, r2 double"])
+    return rows.select(*keys, "run", "scan", "x", "nuisance", "y").groupBy(*keys).applyInPandas(run, schema)
 
 
 def shuffle_average(rows: DataFrame, keys: list[str]) -> DataFrame:

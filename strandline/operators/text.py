@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.tokens import DECLARATIVE, EXCLAMATION, PAUSE, QUESTION, normal_token, without_marks
+from strandline.functions.tokens import DECLARATIVE, EXCLAMATION, FRENCH, PAUSE, QUESTION, normal_token, without_marks
 
 
 def _normal_tokens(tokens: pd.Series) -> pd.Series:
@@ -33,6 +33,28 @@ def canonical_forms(normal: Column, plain: Column) -> Column:
     return F.filter(F.array_distinct(F.array(normal, bare(normal), plain, bare(plain))), lambda x: x != "")
 
 
+def group_forms(tokens: Column, language: Column | None = None) -> Column:
+    """Forms of a group of normal tokens (empty ones left out): joined by a space and by nothing, without ' and -, and the French contractions; folding apart."""
+    plain = F.filter(tokens, lambda t: t != "")
+    bare = F.transform(plain, lambda t: F.translate(t, "'-", ""))
+    forms = F.array(*[F.array_join(x, sep) for x in (plain, bare) for sep in (" ", "")])
+    if language is not None:
+        pair = F.array_join(plain, " ")
+        short = F.create_map(*[F.lit(x) for k, v in FRENCH.items() for x in (" ".join(k), v)])
+        forms = F.concat(forms, F.when((language == "fr") & pair.isin(*[" ".join(k) for k in FRENCH]), F.array(F.try_element_at(short, pair))).otherwise(F.array().cast("array<string>")))
+    return F.filter(F.array_distinct(forms), lambda x: x != "")
+
+
+def lemma_or_word(lemma: Column, word: Column) -> Column:
+    """The lemma, the word where that is blank or missing."""
+    return F.when(F.trim(lemma) != "", F.trim(lemma)).otherwise(word)
+
+
+def soft_token(token: Column) -> Column:
+    """Whether a normal token is punctuation that alignment may skip."""
+    return token.rlike(r"""^[-.?!,:;"']*$""")
+
+
 def punct_class(text: Column) -> Column:
     """Class of the last character that is no white space."""
     last = F.regexp_extract(text, r"(\S)\s*$", 1)

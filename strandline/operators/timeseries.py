@@ -59,12 +59,16 @@ def double_gamma(hz: float, length: float = 32.0, peak: float = 6.0, under: floa
 def convolved_at_scans(series: DataFrame, keys: list[str], kernel: list[float], hz: float, tr: float, scans: int) -> DataFrame:
     """The causal convolution of a sparse series with ``kernel``, at the bin nearest each scan time.
 
-    Each bin meets only the scans its taps reach: an equi-join on the bin, never bins against scans.
+    Each bin meets only the scans its taps reach: as many rows as a kernel spans scans, not as it has taps.
     """
-    taps = series.select(*keys, "x", F.posexplode(F.array(*[F.lit(k) for k in kernel])).alias("lag", "h"), "bin").withColumn("at", F.col("bin") + F.col("lag"))
-    spark = series.sparkSession
-    times = spark.range(scans).select(F.col("id").cast("int").alias("scan"), F.bround(F.col("id") * tr * hz).cast("int").alias("at"))
-    return taps.join(F.broadcast(times), "at").groupBy(*keys, "scan").agg(F.sum(F.col("x") * F.col("h")).alias("y"))
+    step = tr * hz
+    first = F.greatest(F.floor((F.col("bin") - 1) / step), F.lit(0))
+    last = F.least(F.ceil((F.col("bin") + len(kernel)) / step), F.lit(scans - 1))
+    reached = series.withColumn("sl_a", first).withColumn("sl_b", last).where("sl_a <= sl_b").withColumn("scan", F.explode(F.sequence(F.col("sl_a").cast("int"), F.col("sl_b").cast("int"))))
+    lag = (F.bround(F.col("scan") * step) - F.col("bin")).cast("int")
+    reached = reached.withColumn("sl_lag", lag).where((F.col("sl_lag") >= 0) & (F.col("sl_lag") < len(kernel)))
+    tap = F.element_at(F.array(*[F.lit(float(k)) for k in kernel]), F.col("sl_lag") + 1)
+    return reached.groupBy(*keys, "scan").agg(F.sum(F.col("x") * tap).alias("y"))
 
 
 def highpass(rows: DataFrame, scan: str, scans: Column, tr: float, cutoff: float) -> DataFrame:

@@ -24,7 +24,8 @@ def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.join(v, "vec_id").select(F.col("conv_id").alias("section"), "side", F.col("turn").cast("int").alias("idx"), "text", "vec")
 
 
-@query(f"""WITH n AS (SELECT count(*) s FROM embeddings), c AS (SELECT conv_id, turn, length(trim(text)) chars, {_PUNCT} punct, embedding::DOUBLE[] vec FROM conversations, n JOIN embeddings ON vec_id = (conv_id * 7 + turn) % n.s)
+@query(f"""WITH k AS (SELECT conv_id, turn, text, (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) AS vec_id FROM conversations),
+c AS (SELECT conv_id, turn, length(trim(text)) chars, {_PUNCT} punct, embedding::DOUBLE[] vec FROM k JOIN embeddings USING (vec_id))
 SELECT a.conv_id, a.turn, round((1.0 * (1 - least(greatest(list_inner_product(a.vec, b.vec), -1), 1)) + 0.25 * abs(ln((a.chars + 1) / (b.chars + 1))) + 0.10 * (a.punct <> b.punct)::INT) * (1 + 1) / 2 + 0.10 * 0, 6) + 0.0 AS cost
 FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
 def pair_cost(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,17 +30,6 @@ def ridge_encode_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("lang", "layer", "condition", "target", *[shown(c, 4).alias(c) for c in ("r", "z", "r2")])
 
 
-@query()
-def robustness_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shared - specific z of each language and layer in two settings (all nuisance, intercept only), and how many are positive."""
-    scans = _scans(spark, sf_dir).where("condition <> 'raw'")
-    settings = scans.withColumn("setting", F.lit("full")).unionByName(scans.withColumn("setting", F.lit("no_nuisance")).withColumn("nuisance", F.array(F.lit(1.0))))
-    cells = E.encode_groups(settings, ["setting", "lang", "layer", "condition"], ["t0", "t1", "t2"])
-    wide = cells.groupBy("setting", "lang", "layer").pivot("condition", ["shared", "specific"]).agg(F.avg("z"))
-    delta = wide.withColumn("delta", F.col("shared") - F.col("specific"))
-    return delta.groupBy("setting").agg(F.count("*").alias("n_cells"), F.sum((F.col("delta") > 0).cast("long")).alias("n_positive"), shown(F.avg("delta"), 4).alias("mean_delta"))
-
-
 _M = f"WITH {views.METRIC_SQL}"
 
 
