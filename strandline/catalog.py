@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ["geometry", "metrics", "inference", "text_order", "timeseries", "sets", "alignment", "encoding", "figures", "files", "guards", "study"]
+_MODULES = ["geometry", "metrics", "inference", "text_order", "timeseries", "sets", "alignment", "encoding", "figures", "files", "guards", "study", "sinks"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

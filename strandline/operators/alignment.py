@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import vectors as V
 from strandline.functions.tokens import forms_of, last_class, normal_token
+from strandline.operators.guards import LEAST_MEAN_SIMILARITY, LEAST_SIMILARITY, MOST_COST
 
 # --- fixed values ---
 COSINE_WEIGHT, LENGTH_WEIGHT, PUNCT_WEIGHT, MERGE_PENALTY = 1.0, 0.25, 0.10, 0.10
@@ -47,6 +48,32 @@ def span_cost(a: Span, b: Span) -> tuple[float, float]:
     return local * (a.length + b.length) / 2 + MERGE_PENALTY * (a.length + b.length - 2), cosine
 
 
+def span_tables(a: Section, b: Section) -> dict[tuple[int, int], tuple[list, list]]:
+    """By lengths (p, q) of one or two: costs and cosines of every span of ``a`` with every one of ``b``, from one matrix product each."""
+    key = id(b)
+    if key not in a.tables:
+        found = {}
+        for p, q in itertools.product((1, 2), repeat=2):
+            one, two = ([s.span(i, n) for i in range(len(s) - n + 1)] for s, n in ((a, p), (b, q)))
+            if not one or not two:
+                continue
+            cosine = np.clip(np.stack([x.vector for x in one]) @ np.stack([x.vector for x in two]).T, -1, 1)
+            ratio = np.abs(np.log(np.array([x.chars + 1.0 for x in one])[:, None] / np.array([x.chars + 1.0 for x in two])))
+            differ = np.array([x.punct for x in one])[:, None] != np.array([x.punct for x in two])
+            local = COSINE_WEIGHT * (1 - cosine) + LENGTH_WEIGHT * ratio + PUNCT_WEIGHT * differ
+            found[p, q] = ((local * (p + q) / 2 + MERGE_PENALTY * (p + q - 2)).tolist(), cosine.tolist())
+        a.tables[key] = found
+    return a.tables[key]
+
+
+def cost_between(a: Section, i: int, p: int, b: Section, j: int, q: int) -> tuple[float, float]:
+    """(cost, cosine) of the span of p sentences of ``a`` from i and that of q sentences of ``b`` from j."""
+    if p > 2 or q > 2:
+        return span_cost(a.span(i, p), b.span(j, q))
+    cost, cosine = span_tables(a, b)[p, q]
+    return cost[i][j], cosine[i][j]
+
+
 class Unreachable(ValueError):
     """No path consumes every sentence of every side."""
 
@@ -88,7 +115,7 @@ class Section:
     """Sentences of one side of a section, and its spans on demand."""
 
     def __init__(self, texts: Sequence[str], vectors: np.ndarray):
-        self.texts, self.vectors, self.spans = list(texts), np.asarray(vectors, float), {}
+        self.texts, self.vectors, self.spans, self.tables = list(texts), np.asarray(vectors, float), {}, {}
 
     def __len__(self) -> int:
         return len(self.texts)
@@ -106,13 +133,13 @@ class Section:
 
 
 def align_pair(a: Section, b: Section) -> list[Block]:
-    return monotone_path((len(a), len(b)), lambda at, n: span_cost(a.span(at[0], n[0]), b.span(at[1], n[1]))[0])
+    tables = span_tables(a, b)
+    return monotone_path((len(a), len(b)), lambda at, n: tables[n][0][at[0]][at[1]])
 
 
 def triple_costs(sides: Sequence[Section], at: Sequence[int], n: Sequence[int]) -> list[tuple[float, float]]:
     """(cost, cosine) of the pairs 0-1, 0-2, 1-2."""
-    spans = [s.span(x, k) for s, x, k in zip(sides, at, n, strict=True)]
-    return [span_cost(spans[i], spans[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+    return [cost_between(sides[i], at[i], n[i], sides[j], at[j], n[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
 
 
 def align_triple(sides: Sequence[Section], start: Sequence[int], counts: Sequence[int]) -> list[Block]:
@@ -188,7 +215,7 @@ def triplet_rows(sides: Sequence[Section]) -> list[dict]:
         costs = triple_costs(sides, t.start, t.length)
         spans = [s.span(a, n) for s, a, n in zip(sides, t.start, t.length, strict=True)]
         similar = [c for _, c in costs]
-        review = min(similar) < 0.35 or sum(similar) / 3 < 0.40 or max(c for c, _ in costs) > 1.25 or len({s.punct for s in spans}) > 1 or sum(n == 2 for n in t.length) > 1 or t.source == "needs_fix"
+        review = min(similar) < LEAST_SIMILARITY or sum(similar) / 3 < LEAST_MEAN_SIMILARITY or max(c for c, _ in costs) > MOST_COST or len({s.punct for s in spans}) > 1 or sum(n == 2 for n in t.length) > 1 or t.source == "needs_fix"
         rows.append({
             "triplet": i, "start0": t.start[0], "start1": t.start[1], "start2": t.start[2], "pattern": "-".join(map(str, t.length)), "source": t.source,
             "mean_similarity": sum(similar) / 3, "max_cost": max(c for c, _ in costs), "char_ratio1": abs(math.log((spans[0].chars + 1) / (spans[1].chars + 1))), "char_ratio2": abs(math.log((spans[0].chars + 1) / (spans[2].chars + 1))), "needs_review": bool(review),
@@ -196,6 +223,11 @@ def triplet_rows(sides: Sequence[Section]) -> list[dict]:
     return rows
 
 
+def by_section(sentences: DataFrame) -> DataFrame:
+    """Dealt by section in as many parts as the session shuffles into: sections are small, their alignment is not, so parts must not be joined by size."""
+    return sentences.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section")
+
+
 TRIPLET_SCHEMA = "section bigint, triplet int, start0 int, start1 int, start2 int, pattern string, source string, mean_similarity double, max_cost double, char_ratio1 double, char_ratio2 double, needs_review boolean"
 
 
@@ -204,14 +236,15 @@ def align_sections(sentences: DataFrame) -> DataFrame:
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         sides = []
+        frame = frame.sort_values(["side", "idx"])
         for k in range(3):
-            part = frame[frame["side"] == k].sort_values("idx")
+            part = frame[frame["side"] == k]
             sides.append(Section(part["text"].tolist(), np.stack(part["vec"].to_numpy()) if len(part) else np.zeros((0, 1))))
         rows = pd.DataFrame(triplet_rows(sides))
         rows.insert(0, "section", key[0])
         return rows
 
-    return sentences.groupBy("section").applyInPandas(run, TRIPLET_SCHEMA)
+    return by_section(sentences).groupBy("section").applyInPandas(run, TRIPLET_SCHEMA)
 
 
 def align_pairs(sentences: DataFrame) -> DataFrame:
@@ -222,7 +255,7 @@ def align_pairs(sentences: DataFrame) -> DataFrame:
         rows = [(key[0], i, s[0], n[0], s[1], n[1], span_cost(a.span(s[0], n[0]), b.span(s[1], n[1]))[0]) for i, (s, n) in enumerate(align_pair(a, b))]
         return pd.DataFrame(rows, columns=["section", "block", "start0", "length0", "start1", "length1", "cost"])
 
-    return sentences.where("side < 2").groupBy("section").applyInPandas(run, "section bigint, block int, start0 int, length0 int, start1 int, length1 int, cost double")
+    return by_section(sentences.where("side < 2")).groupBy("section").applyInPandas(run, "section bigint, block int, start0 int, length0 int, start1 int, length1 int, cost double")
 
 
 def same_tokens(a: Sequence[str], b: Sequence[str], language: str = "") -> bool:

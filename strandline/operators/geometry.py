@@ -15,9 +15,14 @@ from strandline.functions import vectors as V
 
 
 def side_by_side(vectors: DataFrame, group: list[str], languages: int = 3) -> DataFrame:
-    """One row a triplet with columns v0, v1, ...: one shuffle instead of self-joins."""
+    """One row a triplet with columns v0, v1, ...: one shuffle instead of self-joins. Two vectors of one language and triplet raise when they are read."""
     # the aggregate's buffer holds at most one vector for each language
-    return vectors.groupBy(*group, "triplet").agg(*[F.max(F.when(F.col("lang") == k, F.col("vec"))).alias(f"v{k}") for k in range(languages)])
+    of = [F.max(F.when(F.col("lang") == k, F.col("vec"))).alias(f"v{k}") for k in range(languages)]
+    n = [F.count_if(F.col("lang") == k).alias(f"sl_n{k}") for k in range(languages)]
+    wide = vectors.groupBy(*group, "triplet").agg(*of, *n)
+    twice = lambda k: F.raise_error(F.concat(F.lit(f"two vectors of language {k} for triplet "), F.col("triplet").cast("string")))
+    checked = [F.when(F.col(f"sl_n{k}") > 1, twice(k).cast(dict(wide.dtypes)[f"v{k}"])).otherwise(F.col(f"v{k}")).alias(f"v{k}") for k in range(languages)]
+    return wide.select(*group, "triplet", *checked)
 
 
 def shared_part(vectors: DataFrame, group: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from strandline.operators import alignment as A
 from strandline.operators import text as T
 from strandline.plans import views
 from strandline.plans.text_order import _PUNCT
+from strandline.sources.scratch import scratch
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,9 @@ def pairwise_dp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def triplet_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.align_sections(_sentences(spark, sf_dir))
+    rows, path = A.align_sections(_sentences(spark, sf_dir)), scratch(spark)
+    rows.write.parquet(path)  # read twice below, aligned once
+    rows = spark.read.parquet(path)
     flagged = A.flag_ratio_outliers(rows.withColumn("note", F.lit("")), ["char_ratio1", "char_ratio2"])
     return flagged.select("section", "triplet", "start0", "start1", "start2", "pattern", "source", shown("mean_similarity").alias("mean_similarity"), shown("max_cost").alias("max_cost"), "needs_review", "note")
 

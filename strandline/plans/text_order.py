@@ -33,15 +33,24 @@ def char_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("conv_id", "turn", shown(T.log_ratio(F.length("text"), F.length("after"))).alias("log_ratio"))
 
 
-@query(r"""WITH w AS (SELECT lang, regexp_extract(text, '^\S+', 0) t FROM documents), n AS (SELECT lang, lower(t) a, strip_accents(lower(t)) b FROM w WHERE t <> '')
-SELECT lang, a AS token, b AS folded, len(list_filter(list_distinct([a, translate(a, '''-', ''), b, translate(b, '''-', '')]), lambda x: x <> ''))::INT AS n_forms, count(*) AS n FROM n GROUP BY ALL""")
+@query(r"""WITH w AS (SELECT lang, t, count(*) n FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) t FROM documents) GROUP BY ALL), n AS (SELECT lang, lower(t) a, strip_accents(lower(t)) b, n FROM w)
+SELECT lang, a AS token, b AS folded, len(list_filter(list_distinct([a, translate(a, '''-', ''), b, translate(b, '''-', '')]), lambda x: x <> ''))::INT AS n_forms, sum(n)::BIGINT AS n FROM n GROUP BY lang, a, b""")
 def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = views.table(spark, sf_dir, "documents").select("lang", F.regexp_extract("text", r"^\S+", 0).alias("t")).where("t <> ''")
-    rows = first.groupBy("lang", "t").agg(F.count("*").alias("n")).withColumn("token", T.normal_tokens("t")).withColumn("folded", T.folded("token"))
+    """All words of the whole texts; each spelling of a language is normalised once."""
+    words = views.table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("t"))
+    rows = words.groupBy("lang", "t").agg(F.count("*").alias("n")).withColumn("token", T.normal_tokens("t")).withColumn("folded", T.folded("token"))
     counted = rows.groupBy("lang", "token", "folded").agg(F.sum("n").alias("n"))
     return counted.select("lang", "token", "folded", F.size(T.canonical_forms(F.col("token"), F.col("folded"))).alias("n_forms"), "n")
 
 
+@query(r"""WITH c AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '[^\x20\x09-\x0D]+')[1:2], lambda x: lower(x)) p FROM conversations), q AS (SELECT conv_id, turn, p, list_transform(p, lambda x: translate(x, '''-', '')) b FROM c)
+SELECT conv_id, turn, list_sort(list_filter(list_distinct([array_to_string(p, ' '), array_to_string(p, ''), array_to_string(b, ' '), array_to_string(b, '')]), lambda x: x <> '')) AS forms FROM q""")
+def group_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of a group of two tokens (each turn's first two)."""
+    tokens = F.transform(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), 1, 2), F.lower)
+    return views.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_sort(T.group_forms(tokens)).alias("forms"))
+
+
 @query(f"{_S} SELECT section, idx, string_agg(text, ' ' ORDER BY idx) OVER (PARTITION BY section ORDER BY idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS context FROM sp")
 def prev_k_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.previous_context(views.spans(spark, sf_dir), ["section"], "idx", "text", 2).select("section", "idx", "context")

@@ -110,15 +110,15 @@ def sentence_basis_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {views.SPAN_SQL}, {views.VEC_SQL}, f AS (SELECT section, idx, least(greatest(floor(onset * 2), 0), 79)::BIGINT a, "offset" FROM sp), g AS (SELECT section, idx, a, least(greatest(ceil("offset" * 2), a + 1), 80)::BIGINT b FROM f),
-c AS (SELECT section, idx, unnest(range(a, b)) AS bin FROM g), k AS (SELECT count(DISTINCT triplet) s FROM v)
-SELECT section, bin::INT AS bin, round(sum(vec[1]), 6) + 0.0 AS x0, round(sum(vec[2]), 6) + 0.0 AS x1 FROM c, k JOIN v ON v.lang = 0 AND v.triplet = (section + idx) % k.s GROUP BY section, bin""")
+c AS (SELECT section, idx, unnest(range(a, b)) AS bin FROM g), k AS (SELECT count(DISTINCT triplet) s FROM v), j AS (SELECT section, bin, (section + idx) % (SELECT s FROM k) triplet FROM c)
+SELECT section, bin::INT AS bin, lang, place::INT AS place, round(sum(x), 6) + 0.0 AS x FROM (SELECT section, bin, lang, unnest(vec) x, unnest(range(len(vec))) place FROM j JOIN v USING (triplet)) GROUP BY ALL""")
 def sentence_design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of each sentence joined with the sentence's vector, summed over the sentences of a bin."""
-    v = views.vectors(spark, sf_dir).where("lang = 0").select("triplet", F.col("vec")[0].alias("a"), F.col("vec")[1].alias("b"))
-    size = F.broadcast(views.vectors(spark, sf_dir).agg(F.count_distinct("triplet").alias("s")))
+    """Bins of each sentence joined with the sentence's vectors in all languages, summed over the sentences of a bin at every place."""
+    v = views.vectors(spark, sf_dir)
+    size = F.broadcast(v.agg(F.count_distinct("triplet").alias("s")))
     bins = T.interval_bins(views.spans(spark, sf_dir), F.col("onset"), F.col("offset"), 2.0, 80).join(size)
     rows = bins.select("section", "bin", ((F.col("section") + F.col("idx")) % F.col("s")).alias("triplet")).join(v, "triplet")
-    return rows.groupBy("section", "bin").agg(shown(F.sum("a")).alias("x0"), shown(F.sum("b")).alias("x1"))
+    return rows.select("section", "bin", "lang", F.posexplode("vec").alias("place", "x")).groupBy("section", "bin", "lang", "place").agg(shown(F.sum("x")).alias("x"))
 
 
 _BOX = f"""bf AS (SELECT subject, day, {_FIRST} a, t, value FROM sa), bl AS (SELECT subject, day, a, least(greatest(ceil((t + value * 20) * {_H}), a + 1), {BINS})::BIGINT b FROM bf),
