@@ -16,8 +16,9 @@ of the sentencepiece library on every text (tests compare them).
 White space: a space becomes U+2581, one is put in front of the text; decoding
 undoes both, so a text that itself holds U+2581 comes back with spaces there.
 
-Defined results: null text encodes to null and decodes from null; the empty text
-has no ids; characters no piece covers become byte pieces; bytes that are no
+Defined results: null text encodes to null and decodes from null (the digests
+count it as empty); the empty text has no ids; repeated rows are encoded alike,
+an empty table gives an empty one; characters no piece covers become byte pieces; bytes that are no
 UTF-8 decode to U+FFFD.
 """
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 from strandline.llm._shared import session_of, worker_cache
 
 SPACE = "▁"
-#: Words whose encodings a Python worker remembers.
-REMEMBERED = 800_000
+#: Words whose encodings a Python worker remembers, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 800_000, 16_000_000
 #: Characters of new words that are indexed at a time.
 INDEXED = 400_000
 #: Characters of a word that are compared with the word before it.
@@ -94,6 +95,7 @@ class Encoder:
         self.high = np.ascontiguousarray(np.where(tail, 0xFFFF, rows).astype(">u2")).view(kind).reshape(-1)
         self.kind = kind
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0  # characters of the known words
         self.pair: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
@@ -216,11 +218,13 @@ class Encoder:
         fresh: set[str] = set()
         for units in split:
             fresh.update(units)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known = {}
+        new = fresh.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED or self.held + sum(map(len, new)) > REMEMBERED_CHARS:
+            self.known, self.held, new = {}, 0, fresh
+        self.held += sum(map(len, new))
         if len(self.pair) > 4 * REMEMBERED:
             self.pair = {}
-        new = sorted(fresh.difference(self.known))
+        new = sorted(new)
         a = size = 0
         for b, word in enumerate(new):
             size += len(word) + 1
