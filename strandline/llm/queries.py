@@ -78,14 +78,35 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the secret scan: the base kinds' numbers."""
+    return op4_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+def imatch_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the fingerprints: the texts they are taken of."""
+    return op9_imatch_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    parts = {f.__name__: f for f in (secret_base_counts, imatch_edited_texts)}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)} | parts
 
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _either_case(name: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in name)
+
+
+_ASSIGN = f"""({"|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key")))})["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _SQL = {
+    "secret_base_counts": f"""SELECT doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '{_ASSIGN}', 2), lambda x: length(x) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 24))::BIGINT AS n_hex FROM documents""",
+    "imatch_edited_texts": """WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents), n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) after FROM d)
+SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(left(t, length(t) - length(t) // 4) || left(after, length(t) // 4)) AS edited_sha256 FROM n""",
     "op2_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format("text")} words FROM documents),
 win AS (SELECT doc_id, p, md5(array_to_string(words[p + 1:p + 50], ' ')) h FROM (SELECT doc_id, words, unnest(range(len(words) - 49)) p FROM w WHERE len(words) >= 50)),
