@@ -91,12 +91,12 @@ def derangement_fixed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _permutations(spark, sf_dir, 5).groupBy("lang", "shuffle").agg(F.count("*").alias("n_rows"), F.sum((F.col("triplet") == F.col("permuted")).cast("long")).alias("fixed_points"))
 
 
-@query(f"""WITH {views.LAYER_SQL}, {_PARTS}, {_DERANGE} SELECT s.layer, s.lang, p.triplet, round({_WEIGHT.format('s.shared')}, 6) + 0.0 AS weighted
-FROM pm p JOIN sh s ON s.lang = p.lang AND s.triplet = p.permuted WHERE p.shuffle = 0""")
+@query(f"""WITH {views.LAYER_SQL}, {_PARTS}, {_DERANGE} SELECT s.layer, s.lang, p.shuffle::INT AS shuffle, p.triplet, round({_WEIGHT.format('s.shared')}, 6) + 0.0 AS weighted
+FROM pm p JOIN sh s ON s.lang = p.lang AND s.triplet = p.permuted""")
 def mismatched_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = G.shared_part(views.layer_vectors(spark, sf_dir), ["layer"]).select("layer", "lang", F.col("triplet").alias("permuted"), "shared")
-    taken = _permutations(spark, sf_dir, 1).join(shared, ["lang", "permuted"])
-    return taken.select("layer", "lang", "triplet", shown(V.weighted(F.col("shared"))).alias("weighted"))
+    taken = _permutations(spark, sf_dir, 5).join(shared, ["lang", "permuted"])
+    return taken.select("layer", "lang", "shuffle", "triplet", shown(V.weighted(F.col("shared"))).alias("weighted"))
 
 
 @query(f"""WITH {views.LAYER_SQL}, sim AS (SELECT a.layer, a.lang || '>' || b.lang AS direction, a.triplet, b.triplet other, {_DOT}(a.vec, b.vec) s FROM lv a JOIN lv b ON a.layer = b.layer AND a.lang <> b.lang),
