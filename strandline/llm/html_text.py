@@ -56,6 +56,8 @@ RUN = 6
 COVERED = 0.8
 #: Texts of a host, and the share of all its texts, that a run inside containers occurs in before it is boilerplate.
 LEAST, SHARE = 3, 0.25
+#: Parts of an interval's hash: side, side and host tag, and the mark of totals.
+_SIDE, _TAGS, _TOTAL = np.uint64(1), np.uint64(0x1FFFF), np.uint64(1 << 63)
 #: Suffixes that a task holds before it sums them up.
 HELD = 2_000_000
 
@@ -191,6 +193,8 @@ class Suffixes:
     Stream i holds the blocks ``first_block[i]`` to ``first_block[i + 1]``; suffix k lies in stream ``stream[k]``,
     begins at token ``place[k]`` of it and has the hash ``gram[k]`` of its host, side and first RUN tokens.
     ``total[i]``: hash that stands for the texts of the stream's host and side.
+
+    The low bits of both are the side (1: inside containers) and a tag of the host, the highest one is set in totals.
     """
 
     def __init__(self, streams: list[tuple[str, str, list[str]]]):
@@ -218,10 +222,11 @@ class Suffixes:
         chosen[edges] = True
         place = np.flatnonzero(chosen & fits)
         salt = np.array([xxhash.xxh64_intdigest(f"{side} {host}") for host, side, _ in streams], np.uint64)
+        tag = salt & ~_SIDE & _TAGS | np.array([side == "main" for _, side, _ in streams], np.uint64)
         self.stream = owner[place]
         self.place = place - begin[self.stream]
-        self.gram = mix64(run[place] ^ salt[self.stream])
-        self.total = mix64(salt + np.uint64(1))
+        self.gram = mix64(run[place] ^ salt[self.stream]) & ~_TOTAL & ~_TAGS | tag[self.stream]
+        self.total = mix64(salt + np.uint64(1)) & ~_TAGS | _TOTAL | tag
         self.bounds = np.searchsorted(self.stream, np.arange(len(streams) + 1))
 
 
@@ -283,18 +288,26 @@ def _counts(buckets: int):
 
 
 def _repeated(frame: pd.DataFrame) -> pd.DataFrame:
-    """(gram, n): the intervals of a bucket that two texts share, and in how many texts."""
+    """(gram, n): the intervals of a bucket that enough texts share on any host, and in how many texts."""
     grams, counts = (np.concatenate([np.frombuffer(x, kind) for x in frame[c]]) for c, kind in (("grams", np.uint64), ("counts", np.int32)))
     grams, counts = _summed(grams, counts)
-    return pd.DataFrame({"gram": grams[counts > 1].view(np.int64), "n": counts[counts > 1]})
+    inside = (grams & _SIDE == 1) & (grams & _TOTAL == 0)
+    some = counts >= np.where(inside, LEAST, 2)
+    return pd.DataFrame({"gram": grams[some].view(np.int64), "n": counts[some]})
 
 
 def repeated_runs(pages: DataFrame) -> DataFrame:
-    """(gram, n) over ``pages`` (tkey, html, host): see ``Suffixes``."""
+    """(gram, n) over ``pages`` (tkey, html, host): see ``Suffixes``. Runs inside containers that are too rare for every host of their tag are left out."""
     buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = pages.mapInArrow(_texts_of, "key bigint, grams binary").groupBy("key").agg(F.first("grams").alias("grams")).select("grams")
     dealt = texts.mapInArrow(_counts(buckets), "bucket int, grams binary, counts binary")
-    return dealt.groupBy("bucket").applyInPandas(_repeated, "gram bigint, n int")
+    found, _ = stored(dealt.groupBy("bucket").applyInPandas(_repeated, "gram bigint, n int"))
+    tag = F.col("gram").bitwiseAND(int(_TAGS))
+    # one row a tag: 131,072 at most, whatever the number of hosts
+    least = found.where("gram < 0").groupBy(tag.alias("tag")).agg(F.min("n").alias("texts"))
+    judged = found.withColumn("tag", tag).join(F.broadcast(least), "tag", "left")
+    inside = (F.col("gram") >= 0) & (F.col("gram").bitwiseAND(1) == 1)
+    return judged.where(~inside | (F.col("n") >= SHARE * F.coalesce("texts", F.lit(0)))).select("gram", "n")
 
 
 def main_text(page: str, host: str = "", texts_with: Callable[[np.ndarray], np.ndarray] | None = None) -> str:
