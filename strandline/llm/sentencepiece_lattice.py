@@ -41,8 +41,8 @@ SPACE = "▁"
 REMEMBERED, REMEMBERED_CHARS = 800_000, 16_000_000
 #: Characters of new words that are indexed at a time.
 INDEXED = 400_000
-#: Characters of a word that are compared with the word before it.
-SHARED = 32
+#: Characters from which on a word's edges are relaxed one by one instead of side by side with other words'.
+LONG = 200
 _UNIT = re.compile(f"{SPACE}?[^{SPACE}]+|{SPACE}")
 
 
@@ -68,6 +68,46 @@ class Vocabulary:
         return Vocabulary(pieces, tuple(sp.get_score(i) for i in ids), tuple(not x for x in odd), pieces.index("<0x00>"), sp.unk_id())
 
 
+class PairTable:
+    """Flags of pairs of pieces (left << 20 | right) in an open-addressed hash table, for many pairs at once."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.n = bits, 0
+        self.key, self.flag = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int8)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """0 or 1, -1 for a pair that is not there."""
+        slot = self._slot(keys)
+        held = self.key[slot]
+        out = np.where(held == keys, self.flag[slot], np.int8(-1))
+        probing = np.flatnonzero((held != keys) & (held >= 0))
+        while len(probing):
+            slot[probing] = (slot[probing] + 1) & ((1 << self.bits) - 1)
+            held = self.key[slot[probing]]
+            hit = held == keys[probing]
+            out[probing[hit]] = self.flag[slot[probing[hit]]]
+            probing = probing[~hit & (held >= 0)]
+        return out
+
+    def add(self, keys: np.ndarray, flags: np.ndarray) -> None:
+        """Put in distinct pairs that are not there."""
+        if 2 * (self.n + len(keys)) > 1 << self.bits:
+            old = self.key >= 0
+            keys, flags = np.append(self.key[old], keys), np.append(self.flag[old], flags)
+            self.__init__(int(4 * len(keys)).bit_length())
+        self.n += len(keys)
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.key[slot[todo]] < 0]
+            at, first = np.unique(slot[free], return_index=True)
+            self.key[at], self.flag[at] = keys[free[first]], flags[free[first]]
+            todo = todo[self.key[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+
 class Encoder:
     """Encoder and decoder of one vocabulary, with what it has learned of words and of pairs of pieces."""
 
@@ -96,8 +136,9 @@ class Encoder:
         self.kind = kind
         self.known: dict[str, tuple[int, ...]] = {}
         self.held = 0  # characters of the known words
-        self.pair: dict[int, bool] = {}
-        self.whole: dict[int, bool] = {}
+        self.length = np.array([len(p) for p in vocabulary.pieces], np.int64)
+        self.pairs = PairTable()
+        self.whole = np.full(len(vocabulary.pieces), -1, np.int8)  # whether a piece's characters merge into it; -1: not known yet
         self.runs: dict[int, tuple[int, ...]] = {}
         self.number = list(range(len(vocabulary.pieces)))
         self.decimal = [str(i) for i in self.number]
@@ -121,19 +162,28 @@ class Encoder:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
-    def _stays(self, left: int, right: int) -> bool:
-        key = left << 20 | right
-        known = self.pair.get(key)
-        if known is None:
-            a, b = self.v.pieces[left], self.v.pieces[right]
-            known = self.pair[key] = self._merged(a + b) == [a, b]
-        return known
-
-    def _alone(self, piece: int) -> bool:
-        known = self.whole.get(piece)
-        if known is None:
-            known = self.whole[piece] = self._merged(self.v.pieces[piece]) == [self.v.pieces[piece]]
-        return known
+    def _stays(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the two pieces of each pair, merged from characters, stay these two."""
+        known = self.pairs.find(keys)
+        if (known < 0).any():
+            new = np.unique(keys[known < 0])
+            pieces = self.v.pieces
+            parts = [(pieces[k >> 20], pieces[k & 0xFFFFF]) for k in new.tolist()]
+            self.pairs.add(new, np.array([self._merged(x + y) == [x, y] for x, y in parts], np.int8))
+            known = self.pairs.find(keys)
+        return known == 1
+
+    def _alone(self, pieces: np.ndarray) -> np.ndarray:
+        for p in np.unique(pieces[self.whole[pieces] < 0]).tolist():
+            self.whole[p] = self._merged(self.v.pieces[p]) == [self.v.pieces[p]]
+        return self.whole[pieces] == 1
+
+    def _good(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether a piece may follow the last one before it (-1: none)."""
+        out, first = np.zeros(len(piece), bool), before < 0
+        out[first] = self._alone(piece[first])
+        out[~first] = self._stays(before[~first] << 20 | piece[~first])
+        return out
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words: index their joined text, find every piece's places, relax the edges."""
@@ -151,60 +201,78 @@ class Encoder:
         rank = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         start = array[rank]
         size = np.repeat(self.word_size, count)
-        # words come sorted: what a word shares with the one before is relaxed already
+        end, piece = start + size, np.repeat(self.word_ids, count)
         heads = np.concatenate([[0], stops[:-1]])
-        sizes = stops - 1 - heads
-        common = np.zeros(len(words), np.int64)
-        alike = np.ones(len(words), bool)
-        alike[0] = False
-        for k in range(SHARED):
-            alike[1:] &= (sizes[1:] > k) & (sizes[:-1] > k)
-            at = np.flatnonzero(alike)
-            if not len(at):
-                break
-            alike[at] = code[heads[at] + k] == code[heads[at - 1] + k]
-            common[alike] = k + 1
         owner = np.searchsorted(stops, start, "right")
-        fresh = start + size > (heads + common)[owner]
-        start, size, piece = start[fresh], size[fresh], np.repeat(self.word_ids, count)[fresh]
-        order = np.lexsort((start, start + size))  # by the place where they end, longest first
-        ends = (start + size)[order]
-        begin, end, piece = start[order].tolist(), ends.tolist(), piece[order].tolist()
-        cut = np.searchsorted(ends, np.append(heads, len(code)), "right").tolist()
-        last = [-1] * (len(code) + 1)  # the last piece of the encoding that ends here; -1: a character without a piece
-        pair, stays, alone = self.pair, self._stays, self._alone
-        before_head = 0
-        for w, (head, same) in enumerate(zip(heads.tolist(), common.tolist(), strict=True)):
-            if same:
-                last[head + 1 : head + same + 1] = last[before_head + 1 : before_head + same + 1]
-            before_head, settled, a, b = head, -1, cut[w], cut[w + 1]
-            for s, e, p in zip(begin[a:b], end[a:b], piece[a:b], strict=True):
-                if e == settled:
-                    continue
-                before = last[s] if s != head else -1
-                if before < 0:
-                    good = alone(p)
-                else:
-                    good = pair.get(before << 20 | p)
-                    if good is None:
-                        good = stays(before, p)
-                if good:
-                    last[e] = p
-                    settled = e
-        length, base, number = [len(p) for p in self.v.pieces], self.v.byte_base, self.number
-        left = 0
-        for word, stop in zip(words, stops.tolist(), strict=True):
-            out, at = [], stop - 1
-            while at > left:
-                p = last[at]
+        head = heads[owner]
+        last = np.full(len(code) + 1, -1, np.int64)  # the last piece of the encoding that ends here; -1: a character without a piece
+        is_long = (stops - 1 - heads)[owner] > LONG
+        # all words side by side: first the edges that end at a word's first character, the longest before the others, and so on
+        side = np.flatnonzero(~is_long)
+        turn = ((end - head)[side] * (self.widest + 1) + self.widest - size[side]).astype(np.uint16)
+        order = np.argsort(turn, kind="stable")
+        side, turn = side[order], turn[order]
+        cuts = np.flatnonzero(np.append(np.ones(min(1, len(turn)), bool), turn[1:] != turn[:-1])).tolist() + [len(turn)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = side[a:b]
+            at = at[last[end[at]] < 0]  # one edge into each position passes
+            before = np.where(start[at] == head[at], -1, last[start[at]])
+            at = at[self._good(before, piece[at])]
+            last[end[at]] = piece[at]
+        long_edges = np.flatnonzero(is_long)
+        if len(long_edges):
+            long_edges = long_edges[np.lexsort((start[long_edges], end[long_edges]))]
+            self._relax_long(start[long_edges], end[long_edges], piece[long_edges], head[long_edges], last)
+        self._keep(words, heads, stops - 1, last)
+
+    def _keep(self, words: list[str], heads: np.ndarray, ends: np.ndarray, last: np.ndarray) -> None:
+        """Read the words' pieces back from their ends and remember them."""
+        at, lanes, steps = ends.copy(), np.arange(len(words)), []
+        plain = np.ones(len(words), bool)
+        while len(lanes):
+            p = last[at[lanes]]
+            plain[lanes[p < 0]] = False
+            lanes, p = lanes[p >= 0], p[p >= 0]
+            steps.append((lanes, p))
+            at[lanes] -= self.length[p]
+            lanes = lanes[at[lanes] > heads[lanes]]
+        count = np.zeros(len(words), np.int64)
+        for lanes, _ in steps:
+            count[lanes] += 1
+        stop = np.cumsum(count)
+        flat = np.zeros(int(stop[-1]), np.int64)
+        for k, (lanes, p) in enumerate(steps):
+            flat[stop[lanes] - 1 - k] = p
+        flat, a, number, base = flat.tolist(), 0, self.number, self.v.byte_base
+        for word, b, whole in zip(words, stop.tolist(), plain.tolist(), strict=True):
+            if whole:
+                self.known[word] = tuple(flat[a:b])
+            a = b
+        for i in np.flatnonzero(~plain).tolist():  # words with characters that no piece covers
+            out, left, place = [], int(heads[i]), int(ends[i])
+            while place > left:
+                p = int(last[place])
                 if p < 0:
-                    out.extend(number[base + b] for b in reversed(word[at - left - 1].encode("utf-8", "replace")))
-                    at -= 1
+                    out.extend(number[base + b] for b in reversed(words[i][place - left - 1].encode("utf-8", "replace")))
+                    place -= 1
                 else:
                     out.append(number[p])
-                    at -= length[p]
-            self.known[word] = tuple(reversed(out))
-            left = stop
+                    place -= int(self.length[p])
+            self.known[words[i]] = tuple(reversed(out))
+
+    def _relax_long(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, head: np.ndarray, last: np.ndarray) -> None:
+        """The edges of long words, one by one in the order of their ends."""
+        found, memo = last.tolist(), {}
+        for s, e, p, h in zip(start.tolist(), end.tolist(), piece.tolist(), head.tolist(), strict=True):
+            if found[e] >= 0:
+                continue
+            key = (found[s] if s != h else -1, p)
+            good = memo.get(key)
+            if good is None:
+                good = memo[key] = bool(self._good(np.array([key[0]]), np.array([p]))[0])
+            if good:
+                found[e] = p
+        last[:] = found
 
     def _run(self, n: int) -> tuple[int, ...]:
         """Encoding of n adjacent space marks."""
@@ -222,8 +290,8 @@ class Encoder:
         if len(self.known) + len(new) > REMEMBERED or self.held + sum(map(len, new)) > REMEMBERED_CHARS:
             self.known, self.held, new = {}, 0, fresh
         self.held += sum(map(len, new))
-        if len(self.pair) > 4 * REMEMBERED:
-            self.pair = {}
+        if self.pairs.n > 4 * REMEMBERED:
+            self.pairs = PairTable()
         new = sorted(new)
         a = size = 0
         for b, word in enumerate(new):
