@@ -11,23 +11,32 @@ from strandline.functions.numbers import shown
 from strandline.operators import encoding as E
 from strandline.operators import geometry as G
 from strandline.plans import views
+from strandline.plans.geometry import _permutations
+
+PLAIN, SHUFFLES = ("raw", "shared", "specific", "full"), 5
 
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lang, layer, condition, run, scan, x, nuisance, y: three targets that depend on the shared part more and more."""
+    """lang, layer, condition, shuffle, run, scan, x, nuisance, y: three targets that depend on the shared part more and more."""
     parts = G.decompose(views.layer_vectors(spark, sf_dir), ["layer"])
-    conditions = F.create_map(F.lit("raw"), F.col("raw"), F.lit("shared"), F.col("shared"), F.lit("specific"), F.col("specific"))
     rows = parts.withColumn("run", (F.col("triplet") % 9 + 1).cast("int")).withColumn("scan", F.floor(F.col("triplet") / 9).cast("int"))
     noise = V.dot(F.slice("raw", 1, 4), F.slice("specific", 5, 4))
     y = F.array(*[F.col("shared")[k] * k + F.col("specific")[k] * 0.3 + noise for k in range(3)])
     nuisance = F.array(F.lit(1.0), F.col("scan") / 100.0, F.cos(F.pi() * (F.col("scan") + 0.5) / 40))
-    return rows.withColumn("y", y).withColumn("nuisance", nuisance).select("lang", "layer", F.explode(conditions).alias("condition", "x"), "run", "scan", "nuisance", "y")
+    rows = rows.withColumn("y", y).withColumn("nuisance", nuisance)
+    plain = F.create_map(*[x for c in PLAIN for x in (F.lit(c), F.col(c))])
+    kept = rows.select("lang", "layer", F.explode(plain).alias("condition", "x"), F.lit(0).alias("shuffle"), "run", "scan", "nuisance", "y")
+    shared = parts.select("lang", "layer", F.col("triplet").alias("permuted"), F.col("shared").alias("x"))
+    moved = _permutations(spark, sf_dir, SHUFFLES).join(shared, ["lang", "permuted"]).select("lang", "layer", "triplet", F.lit("mismatched_shared").alias("condition"), "shuffle", "x")
+    return kept.unionByName(moved.join(rows.select("lang", "layer", "triplet", "run", "scan", "nuisance", "y"), ["lang", "layer", "triplet"]).drop("triplet"))
 
 
 @query()
 def ridge_encode_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.encode_groups(_scans(spark, sf_dir), ["lang", "layer", "condition"], ["t0", "t1", "t2"])
-    return out.select("lang", "layer", "condition", "target", *[shown(c, 4).alias(c) for c in ("r", "z", "r2")])
+    """Scores of every condition; those of mismatched vectors are means over the shuffles."""
+    out = E.encode_groups(_scans(spark, sf_dir), ["lang", "layer", "condition", "shuffle"], ["t0", "t1", "t2"])
+    keys = ["lang", "layer", "condition", "target"]
+    return E.shuffle_average(out, keys).select(*keys, *[shown(c, 4).alias(c) for c in ("r", "z", "r2")])
 
 
 _M = f"WITH {views.METRIC_SQL}"
