@@ -12,7 +12,8 @@ candidate when the whole signatures agree as often as those of a pair at
 
 The orders are dealt by ranges and sorted within them, so no region is gathered,
 whatever its size; a pair that a range boundary cuts in one order meets in
-others. Candidate groups (components of candidates, ids only) are confirmed on
+others. In a region of many more than ``neighbours`` different sets a linked pair
+can stand too far apart in every order and is then lost (the README gives figures). Candidate groups (components of candidates, ids only) are confirmed on
 the full shingle sets, in blocks of bounded size, and the confirmed links make
 the groups.
 
