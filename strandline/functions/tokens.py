@@ -12,6 +12,8 @@ FRENCH = {("de", "le"): "du", ("de", "les"): "des", ("à", "le"): "au", ("a", "l
 
 
 def normal_token(token: str | None) -> str:
+    if token and token.isascii():  # nothing to normalise, one replacement that can apply
+        return token.strip().lower().replace("`", "'")
     text = unicodedata.normalize("NFKC", token or "").strip().lower()
     for old, new in REPLACED:
         text = text.replace(old, new)
@@ -33,9 +35,10 @@ def forms_of(normal: list[str], language: str = "") -> set[str]:
     if not plain:
         return set()
     forms = set()
-    for words in (plain, [without_marks(t) for t in plain]):
-        for drop in ("", "'-"):
-            kept = [t.translate({ord(c): None for c in drop}) for t in words]
+    for words in (plain,) if all(t.isascii() for t in plain) else (plain, [without_marks(t) for t in plain]):
+        forms |= {" ".join(words), "".join(words)}
+        kept = [t.replace("'", "").replace("-", "") for t in words]
+        if kept != words:
             forms |= {" ".join(kept), "".join(kept)}
     if language == "fr" and tuple(plain) in FRENCH:
         forms.add(FRENCH[tuple(plain)])

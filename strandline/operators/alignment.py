@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandline.functions import vectors as V
 from strandline.functions.tokens import forms_of, last_class, normal_token
@@ -228,6 +231,49 @@ def by_section(sentences: DataFrame) -> DataFrame:
     return sentences.repartition(int(sentences.sparkSession.conf.get("spark.sql.shuffle.partitions")), "section")
 
 
+def over_sections(left: DataFrame, right: DataFrame, run: Callable[[int, dict, dict], Iterable[tuple]], schema: str, size: int = 10_000) -> DataFrame:
+    """``run(section, left rows, right rows)`` of every section that either side has, rows as lists by column in the order of ``idx``.
+
+    Sections are many and short, so a frame for each would cost more than its work: both sides come in one sorted
+    stream and one section at a time is held.
+    """
+    both = by_section(left.withColumn("sl_side", F.lit(0)).unionByName(right.withColumn("sl_side", F.lit(1)), allowMissingColumns=True))
+    types = to_arrow_schema(StructType.fromDDL(schema))
+
+    def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key = held = None
+        for batch in batches:
+            rows = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            where, side = rows.pop("section"), rows.pop("sl_side")
+            edges = [0, *(i for i in range(1, len(where)) if where[i] != where[i - 1] or side[i] != side[i - 1]), len(where)]
+            for a, b in itertools.pairwise(edges):
+                if a == b:
+                    continue
+                if held is None or where[a] != key:
+                    if held is not None:
+                        yield key, *held
+                    key, held = where[a], ({c: [] for c in rows}, {c: [] for c in rows})
+                for c, values in rows.items():
+                    held[side[a]][c] += values[a:b]
+        if held is not None:
+            yield key, *held
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for section, one, two in sections(batches):
+            out += run(section, one, two)
+            if len(out) >= size:
+                yield table(out)
+                out = []
+        if out:
+            yield table(out)
+
+    return both.sortWithinPartitions("section", "sl_side", F.asc_nulls_last("idx")).mapInArrow(stream, schema)
+
+
 TRIPLET_SCHEMA = "section bigint, triplet int, start0 int, start1 int, start2 int, pattern string, source string, mean_similarity double, max_cost double, char_ratio1 double, char_ratio2 double, needs_review boolean"
 
 
@@ -263,6 +309,19 @@ def same_tokens(a: Sequence[str], b: Sequence[str], language: str = "") -> bool:
     return not forms_of(list(a), language).isdisjoint(forms_of(list(b), language))
 
 
+class Forms:
+    """Spellings of groups of consecutive tokens in normal spelling, each on demand and once."""
+
+    def __init__(self, tokens: Sequence[str], language: str):
+        self.tokens, self.language, self.found = tokens, language, {}
+
+    def of(self, start: int, length: int) -> set[str]:
+        key = (start, length)
+        if key not in self.found:
+            self.found[key] = forms_of(list(self.tokens[start : start + length]), self.language)
+        return self.found[key]
+
+
 def soft_token(token: str) -> bool:
     """Punctuation (in normal spelling) that may be skipped."""
     return not token or token == "..." or all(c in "-.?!,:;\"'" for c in token)
@@ -317,30 +376,33 @@ def align_token_sections(words: DataFrame, intervals: DataFrame, language: str =
     return words.groupBy("section").cogroup(intervals.groupBy("section")).applyInPandas(run, "section bigint, idx int, token string, onset double, offset double, status string")
 
 
-def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "") -> int:
-    """Rows (from the first on) that a sentence's tree tokens take up.
+def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "", start: int = 0) -> int:
+    """Rows (from ``start`` on) that a sentence's tree tokens take up.
 
     Edit distance with free matches of groups of up to 4 (zh: 5); the end is the
     cheapest, then the nearest to the token count, then the one with most matched
     tokens, then the earliest. Raises over the cost limit.
     """
-    n, zh = len(tree), language == "zh"
+    n, zh, left = len(tree), language == "zh", len(rows) - start
     if not n:
         return 0
-    if not rows:
+    if left <= 0:
         raise ValueError("no rows left for the sentence")
-    most = min(len(rows), max(n + 12, 3 * n) if zh else max(n + 8, 2 * n))
+    most = min(left, max(n + 12, 3 * n) if zh else max(n + 8, 2 * n))
     widest = 5 if zh else 4
     limit = max(4.0, 0.40 * n) if zh else max(3.0, 0.25 * n)
+    tree = [normal_token(t) for t in tree]
+    # as many rows that are the tokens themselves cost nothing and are nearest: no other end can be before that one
+    if n <= most and all(t and t == normal_token(r) for t, r in zip(tree, rows[start : start + n], strict=True)):
+        return n
+    rows = [normal_token(t) for t in rows[start : start + most]]
     score: dict[tuple[int, int], tuple[float, int]] = {(0, 0): (0.0, 0)}  # cost, -matches
 
     def offer(at: tuple[int, int], value: tuple[float, int]) -> None:
-        if value < score.get(at, (math.inf, 0)):
+        if value[0] <= limit and value < score.get(at, (math.inf, 0)):  # costs only grow: a path over the limit ends over it
             score[at] = value
 
-    # every group's forms once, not once for each pair of groups
-    tree, rows = [normal_token(t) for t in tree], [normal_token(t) for t in rows[:most]]
-    forms = [{(i, a): forms_of(list(side[i : i + a]), language) for i in range(size) for a in range(1, min(widest, size - i) + 1)} for side, size in ((tree, n), (rows, most))]
+    forms = Forms(tree, language), Forms(rows, language)  # each group's once, and only where a path comes by
     for i in range(n + 1):
         for j in range(most + 1):
             here = score.get((i, j))
@@ -353,7 +415,7 @@ def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "
                 offer((i, j + 1), (cost + 1, minus))
             for a in range(1, min(widest, n - i) + 1):
                 for b in range(1, min(widest, most - j) + 1):
-                    if not forms[0][i, a].isdisjoint(forms[1][j, b]):
+                    if not forms[0].of(i, a).isdisjoint(forms[1].of(j, b)):
                         offer((i + a, j + b), (cost, minus - max(a, b)))
     ends = [(score[(n, j)][0], abs(j - n), score[(n, j)][1], j) for j in range(1, most + 1) if (n, j) in score]
     if not ends or min(ends)[0] > limit:
@@ -363,21 +425,19 @@ def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "
 
 def sentence_spans(words: DataFrame, trees: DataFrame, language: str = "") -> DataFrame:
     """Sentences of a section from its timed words (section, idx, token, onset, offset) and its tree sentences (section, sentence, tokens)."""
+    glue = "" if language == "zh" else " "
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("idx", ignore_index=True), right.sort_values("sentence", ignore_index=True)
-        at, out = 0, []
-        for sentence, tokens in zip(right["sentence"], right["tokens"], strict=True):
-            taken = consume_sentence(list(tokens), left["token"].tolist()[at:], language)
-            part = left.iloc[at : at + taken]
+    def run(section: int, left: dict, right: dict) -> Iterator[tuple]:
+        at, tokens = 0, left["token"]
+        for sentence, tree in zip(right["idx"], right["tokens"], strict=True):
+            taken = consume_sentence(tree, tokens, language, at)
             if not taken:
-                raise ValueError(f"sentence {sentence} of section {key[0]} is empty")
-            glue = "" if language == "zh" else " "
-            out.append((key[0], int(sentence), glue.join(part["token"]), part["onset"].min(), part["offset"].max(), taken))
+                raise ValueError(f"sentence {sentence} of section {section} is empty")
+            on, off = ([v for v in left[c][at : at + taken] if v is not None and v == v] for c in ("onset", "offset"))
+            yield section, sentence, glue.join(tokens[at : at + taken]), min(on, default=None), max(off, default=None), taken
             at += taken
-        return pd.DataFrame(out, columns=["section", "sentence", "text", "onset", "offset", "n_words"])
 
-    return words.groupBy("section").cogroup(trees.groupBy("section")).applyInPandas(run, "section bigint, sentence int, text string, onset double, offset double, n_words int")
+    return over_sections(words.select("section", "idx", "token", "onset", "offset"), trees.select("section", F.col("sentence").alias("idx"), "tokens"), run, "section bigint, sentence int, text string, onset double, offset double, n_words int")
 
 
 def flag_ratio_outliers(rows: DataFrame, ratios: Sequence[str]) -> DataFrame:

@@ -140,6 +140,53 @@ def test_sentence_takes_its_rows():
         A.consume_sentence(["a", "b", "c", "d", "e", "f", "g", "h"], ["z"] * 8)
 
 
+def _whole_search(tree, rows):
+    """The end of a sentence by every cell, without a shortcut or a limit on the way."""
+    n = len(tree)
+    most = min(len(rows), max(n + 8, 2 * n))
+    score = {(0, 0): (0, 0)}
+    for i in range(n + 1):
+        for j in range(most + 1):
+            cost, minus = score.get((i, j), (math.inf, 0))
+            steps = [(1, 0, cost + 1, minus), (0, 1, cost + 1, minus)] + [(a, b, cost, minus - max(a, b)) for a in range(1, min(4, n - i) + 1) for b in range(1, min(4, most - j) + 1) if token_forms(tree[i : i + a]) & token_forms(rows[j : j + b])]
+            for a, b, c, m in steps:
+                score[i + a, j + b] = min((c, m), score.get((i + a, j + b), (math.inf, 0)))
+    best = min((score[n, j][0], abs(j - n), score[n, j][1], j) for j in range(1, most + 1))
+    return best[3] if best[0] <= max(3.0, 0.25 * n) else None
+
+
+def test_sentence_search_leaves_out_only_what_cannot_win(monkeypatch):
+    rng = np.random.default_rng(5)
+    ends = set()
+    for _ in range(150):
+        tree = [str(w) for w in rng.choice(["a", "b", "ab", "c-d", "cd", "é", "."], rng.integers(1, 7))]
+        rows = [w for w in tree if rng.random() > 0.2] + [str(w) for w in rng.choice(["a", "b", "e", "cd"], rng.integers(1, 5))]
+        try:
+            found = A.consume_sentence(["x", *tree], ["y", "x", *rows], start=1)
+        except ValueError:
+            found = None
+        assert found == _whole_search(["x", *tree], ["x", *rows]), (tree, rows)
+        ends.add(found)
+    assert None in ends and len(ends) > 4
+    used = []
+    monkeypatch.setattr(A, "forms_of", lambda *a: used.append(a) or set())
+    assert A.consume_sentence(["The", "dog", "barks"], ["the", "dog", "barks", "loud"]) == 3 and not used
+
+
+def test_sections_in_a_stream(spark):
+    """Sections longer than a batch, on one side alone and without times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        words = spark.createDataFrame([(s, i, f"w{i}", float(i) if i != 3 else None, i + 0.5) for s in range(9) for i in range(20)] + [(50, 0, "alone", 0.0, 1.0)], "section bigint, idx int, token string, onset double, offset double")
+        trees = spark.createDataFrame([(s, k, [f"w{i}" for i in range(k * 10, k * 10 + 10)]) for s in range(9) for k in range(2)], "section bigint, sentence int, tokens array<string>")
+        found = sorted(tuple(r) for r in A.sentence_spans(words, trees).collect())
+        assert found == [(s, k, " ".join(f"w{i}" for i in range(k * 10, k * 10 + 10)), k * 10.0, k * 10 + 9.5, 10) for s in range(9) for k in range(2)]
+        with pytest.raises(Exception, match="no rows left"):
+            A.sentence_spans(words, trees.unionByName(spark.createDataFrame([(99, 0, ["w"])], trees.schema))).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_encoding_against_closed_form():
     rng = np.random.default_rng(0)
     runs = np.repeat(np.arange(4), 20)
