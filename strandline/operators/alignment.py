@@ -304,11 +304,6 @@ def align_pairs(sentences: DataFrame) -> DataFrame:
     return by_section(sentences.where("side < 2")).groupBy("section").applyInPandas(run, "section bigint, block int, start0 int, length0 int, start1 int, length1 int, cost double")
 
 
-def same_tokens(a: Sequence[str], b: Sequence[str], language: str = "") -> bool:
-    """Whether two groups of tokens in normal spelling have a form in common."""
-    return not forms_of(list(a), language).isdisjoint(forms_of(list(b), language))
-
-
 class Forms:
     """Spellings of groups of consecutive tokens in normal spelling, each on demand and once."""
 
@@ -336,9 +331,14 @@ def align_tokens(words: Sequence[str], intervals: Sequence[str], language: str =
     """
     found: list[tuple[int, int] | None] = [None] * len(words)
     words, intervals = [normal_token(t) for t in words], [normal_token(t) for t in intervals]
+    left, right = Forms(words, language), Forms(intervals, language)
     i = j = missed = 0
     while i < len(words) and j < len(intervals):
-        group = next(((a, b) for a, b in TOKEN_GROUPS if i + a <= len(words) and j + b <= len(intervals) and same_tokens(words[i : i + a], intervals[j : j + b], language)), None)
+        if words[i] and words[i] == intervals[j]:  # the first group of all, equal without its forms
+            found[i] = (j, j)
+            i, j = i + 1, j + 1
+            continue
+        group = next(((a, b) for a, b in TOKEN_GROUPS if i + a <= len(words) and j + b <= len(intervals) and not left.of(i, a).isdisjoint(right.of(j, b))), None)
         if group:
             a, b = group
             found[i : i + a] = [(j, j + b - 1)] * a
@@ -350,8 +350,8 @@ def align_tokens(words: Sequence[str], intervals: Sequence[str], language: str =
         if soft_token(words[i]):
             i, missed = i + 1, missed + 1
             continue
-        ahead = next((d for d in range(1, reach + 1) if j + d < len(intervals) and same_tokens([words[i]], [intervals[j + d]], language)), None)
-        later = next((d for d in range(1, reach + 1) if i + d < len(words) and same_tokens([words[i + d]], [intervals[j]], language)), None)
+        ahead = next((d for d in range(1, reach + 1) if j + d < len(intervals) and not left.of(i, 1).isdisjoint(right.of(j + d, 1))), None)
+        later = next((d for d in range(1, reach + 1) if i + d < len(words) and not left.of(i + d, 1).isdisjoint(right.of(j, 1))), None)
         if ahead is not None and (later is None or ahead <= later):
             j, missed = j + ahead, missed + ahead
         elif later is not None:
@@ -365,15 +365,14 @@ def align_tokens(words: Sequence[str], intervals: Sequence[str], language: str =
 def align_token_sections(words: DataFrame, intervals: DataFrame, language: str = "") -> DataFrame:
     """onset and offset of every word (section, idx, token) from the intervals (section, idx, token, onset, offset) of its section."""
 
-    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left[left["token"].map(lambda t: bool(normal_token(t)))].sort_values("idx", ignore_index=True)
-        right = right.sort_values("idx", ignore_index=True)
-        found, status = align_tokens(left["token"].tolist(), right["token"].tolist(), language)
-        on = [None if f is None else right["onset"].iloc[f[0]] for f in found]
-        off = [None if f is None else right["offset"].iloc[f[1]] for f in found]
-        return pd.DataFrame({"section": key[0], "idx": left["idx"], "token": left["token"], "onset": pd.Series(on, dtype=float), "offset": pd.Series(off, dtype=float), "status": status})
+    def run(section: int, left: dict, right: dict) -> Iterator[tuple]:
+        kept = [(idx, token) for idx, token in zip(left["idx"], left["token"], strict=True) if normal_token(token)]
+        found, status = align_tokens([token for _, token in kept], right["token"], language)
+        on, off = right["onset"], right["offset"]
+        for (idx, token), at in zip(kept, found, strict=True):
+            yield section, idx, token, at and on[at[0]], at and off[at[1]], status
 
-    return words.groupBy("section").cogroup(intervals.groupBy("section")).applyInPandas(run, "section bigint, idx int, token string, onset double, offset double, status string")
+    return over_sections(words.select("section", "idx", "token"), intervals.select("section", "idx", "token", "onset", "offset"), run, "section bigint, idx int, token string, onset double, offset double, status string")
 
 
 def consume_sentence(tree: Sequence[str], rows: Sequence[str], language: str = "", start: int = 0) -> int:

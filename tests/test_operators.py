@@ -132,6 +132,21 @@ def test_token_forms_and_alignment():
     assert [last_class(t) for t in ("So? ", "no!", "yes.", "are？", "well…", "", "x")] == ["question", "exclamation", "declarative", "none", "pause", "none", "none"]
 
 
+def test_token_groups_are_spelled_once(spark, monkeypatch):
+    words, used = ["the", "cat's", "out", ".", "é", "x", "y"], []
+    times = ["the", "cats", "z", "out", "e", "q", "y"]
+    want = A.align_tokens(words, times)
+    assert want == ([(0, 0), (1, 1), (3, 3), None, (4, 4), None, (6, 6)], "approx")
+    whole = A.forms_of
+    monkeypatch.setattr(A, "forms_of", lambda t, language="": used.append(tuple(t)) or whole(t, language))
+    assert A.align_tokens(words, times) == want and max(map(used.count, used)) <= 2 and A.align_tokens(["a"] * 9, ["a"] * 9)[1] == "exact"
+    assert ("a",) not in used
+    rows = spark.createDataFrame([(s, i, t) for s in (1, 2, 3) for i, t in enumerate(words)] + [(3, 9, " ")], "section bigint, idx int, token string")
+    timed = spark.createDataFrame([(s, i, t, float(i), i + 0.5) for s in (2, 3, 4) for i, t in enumerate(times)], "section bigint, idx int, token string, onset double, offset double")
+    got = {(r.section, r.idx): (r.onset, r.offset, r.status) for r in A.align_token_sections(rows, timed).collect()}
+    assert got == {(s, i): ((float(f[0]), f[1] + 0.5, "approx") if f and s > 1 else (None, None, "approx")) for s in (1, 2, 3) for i, f in enumerate(want[0])}
+
+
 def test_sentence_takes_its_rows():
     assert A.consume_sentence(["the", "dog", "barks"], ["the", "dog", "barks", "loud"]) == 3
     assert A.consume_sentence(["ice", "cream"], ["icecream", "now"]) == 1
