@@ -125,7 +125,10 @@ def labelled_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey AS voxel, v.voxel IS NULL AS is_masked, round(coalesce(value, 0), 6) + 0.0 AS value FROM part LEFT JOIN (SELECT * FROM v WHERE sd > 14) v ON v.voxel = p_partkey""")
 def masked_scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = views.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("voxel"))
-    v = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("voxel")).agg(F.avg("l_quantity").alias("value"), F.stddev_pop("l_quantity").alias("sd")).where("sd > 14")
+    q = F.col("l_quantity")
+    v = views.table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("voxel")).agg(F.avg(q).alias("value"), F.count(q).alias("n"), F.sum(q).alias("s"), F.sum(q * q).alias("s2"))
+    # sd > 14 from sums that are whole numbers: a computed sd of exactly 14 is over or under it by the order of the rows
+    v = v.where("n * s2 - s * s > 196.0D * n * n")
     out = C.scattered(grid, v.select("voxel", "value"), "voxel", "value")
     return out.select("voxel", F.isnan("value").alias("is_masked"), shown(F.nanvl("value", F.lit(0.0))).alias("value"))
 

@@ -176,3 +176,15 @@ def test_csv_with_line_breaks(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes('n,t\n1,"two\nlines, ""q"""\n2,\n'.encode("utf-16"))
     assert [tuple(r) for r in R.read_decoded_csv(spark, str(tmp_path / "a.csv")).orderBy("n").collect()] == [(1, 'two\nlines, "q"'), (2, None)]
     assert [tuple(r) for r in R.read_decoded_csv(spark, str(tmp_path / "a.csv"), "n string, t string").orderBy("n").collect()] == [("1", 'two\nlines, "q"'), ("2", None)]
+
+
+def test_a_spread_of_exactly_the_limit_is_masked(spark, tmp_path):
+    """Whatever the order of its rows; a spread just over it is not."""
+    from strandline.plans import guards
+
+    tie = [13, 42, 32, 11, 21, 42, 7, 25, 32, 34, 22, 40, 48, 7, 33, 28, 25, 36, 31, 44, 44, 5, 17, 5, 1]
+    rows = [(k, float(q)) for k in range(25) for q in tie[k:] + tie[:k]] + [(99, float(q)) for q in [*tie[:-1], 0]]
+    spark.createDataFrame(rows, "l_partkey bigint, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in [*range(25), 99, 100]], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    found = {r.voxel: (r.is_masked, r.value) for r in guards.masked_scatter(spark, str(tmp_path)).collect()}
+    assert found == {**dict.fromkeys([*range(25), 100], (True, 0.0)), 99: (False, 25.76)}
