@@ -135,7 +135,7 @@ SELECT g.subject, g.day, sn.scan, 1.0::DOUBLE AS intercept, round(-1 + 2 * sn.sc
 FROM g, sn LEFT JOIN c1 ON c1.subject = g.subject AND c1.day = g.day AND c1.scan = sn.scan LEFT JOIN c2 ON c2.subject = g.subject AND c2.day = g.day AND c2.scan = sn.scan
 LEFT JOIN c3 ON c3.subject = g.subject AND c3.day = g.day AND c3.scan = sn.scan""")
 def nuisance_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = views.samples(spark, sf_dir)
+    s = T.by_series(views.samples(spark, sf_dir), KEYS)
     parts = {
         "word_rate": T.impulses(s, KEYS, "t", HZ, BINS), "intensity": T.interpolated(s, KEYS, "t", "value", HZ, BINS),
         "block": T.boxcar(s, KEYS, F.col("t"), F.col("t") + F.col("value") * 20, HZ, BINS),

@@ -188,3 +188,21 @@ def test_a_spread_of_exactly_the_limit_is_masked(spark, tmp_path):
     spark.createDataFrame([(k,) for k in [*range(25), 99, 100]], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
     found = {r.voxel: (r.is_masked, r.value) for r in guards.masked_scatter(spark, str(tmp_path)).collect()}
     assert found == {**dict.fromkeys([*range(25), 100], (True, 0.0)), 99: (False, 25.76)}
+
+
+def test_nuisance_frame_holds_a_series_a_row(spark):
+    """Columns equal dense convolutions, a series without regressors or name has zeros, and nothing is grouped by scan."""
+    bins = [(0, 1, 2.0), (0, 5, 1.0), (0, 15, 4.0), (1, 0, 3.0)]
+    grid, every = spark.createDataFrame([*bins, (None, 3, 5.0)], "k int, bin int, x double"), spark.createDataFrame([(0,), (1,), (2,), (None,), (0,)], "k int")
+    out = T.nuisance_frame(every, ["k"], {"a": grid, "b": grid.where("k = 1")}, KERNEL, 1.0, 2.0, 8)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "pivotfirst" not in plan and "join" not in plan
+    rows = {(r.k, r.scan): r for r in out.collect()}
+    assert sorted(rows, key=str) == sorted([(k, s) for k in (0, 1, 2, None) for s in range(8)], key=str)
+    for k in (0, 1, 2, None):
+        x = np.zeros(16)
+        for _, b, v in (c for c in bins if c[0] == k):
+            x[b] = v
+        want = np.convolve(x, KERNEL)[:16:2]
+        assert np.allclose([rows[k, s].a for s in range(8)], want) and np.allclose([rows[k, s].b for s in range(8)], want * (k == 1))
+        assert [round(rows[k, s].linear_trend * 7) for s in range(8)] == list(range(-7, 8, 2))
