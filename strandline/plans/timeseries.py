@@ -116,9 +116,10 @@ def sentence_design(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bins of each sentence joined with the sentence's vectors in all languages, summed over the sentences of a bin at every place."""
     v = views.vectors(spark, sf_dir)
     size = F.broadcast(v.agg(F.count_distinct("triplet").alias("s")))
-    bins = T.interval_bins(views.spans(spark, sf_dir), F.col("onset"), F.col("offset"), 2.0, 80).join(size)
-    rows = bins.select("section", "bin", ((F.col("section") + F.col("idx")) % F.col("s")).alias("triplet")).join(v, "triplet")
-    return rows.select("section", "bin", "lang", F.posexplode("vec").alias("place", "x")).groupBy("section", "bin", "lang", "place").agg(shown(F.sum("x")).alias("x"))
+    spans = views.spans(spark, sf_dir).join(size).withColumn("triplet", (F.col("section") + F.col("idx")) % F.col("s"))
+    spans = T.interval_ends(spans, F.col("onset"), F.col("offset"), 2.0, 80).select("section", "sl_first", "sl_last", "triplet")
+    rows = T.summed_over_bins(spans.join(v, "triplet"), ["section", "lang"], "vec", 80)
+    return rows.select("section", "bin", "lang", F.posexplode("x").alias("place", "x")).select("section", "bin", "lang", "place", shown("x").alias("x"))
 
 
 _BOX = f"""bf AS (SELECT subject, day, {_FIRST} a, t, value FROM sa), bl AS (SELECT subject, day, a, least(greatest(ceil((t + value * 20) * {_H}), a + 1), {BINS})::BIGINT b FROM bf),

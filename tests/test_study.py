@@ -206,3 +206,12 @@ def test_nuisance_frame_holds_a_series_a_row(spark):
         want = np.convolve(x, KERNEL)[:16:2]
         assert np.allclose([rows[k, s].a for s in range(8)], want) and np.allclose([rows[k, s].b for s in range(8)], want * (k == 1))
         assert [round(rows[k, s].linear_trend * 7) for s in range(8)] == list(range(-7, 8, 2))
+
+
+def test_vectors_are_summed_before_bins_become_rows(spark):
+    rows = [(0, 0, 2, [1.0, 2.0]), (0, 2, 3, [0.5, -1.0]), (1, 5, 5, [3.0, None])]
+    frame = spark.createDataFrame(rows, "k int, sl_first int, sl_last int, vec array<double>")
+    out = T.summed_over_bins(frame, ["k"], "vec", 6)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")  # bins come after the only grouping
+    assert {(r.k, r.bin): r.x for r in out.collect()} == {(0, 0): [1, 2], (0, 1): [1, 2], (0, 2): [1.5, 1], (0, 3): [0.5, -1], (1, 5): [3, None]}
