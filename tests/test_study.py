@@ -215,3 +215,18 @@ def test_vectors_are_summed_before_bins_become_rows(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1 and plan.index("Generate") < plan.index("Aggregate")  # bins come after the only grouping
     assert {(r.k, r.bin): r.x for r in out.collect()} == {(0, 0): [1, 2], (0, 1): [1, 2], (0, 2): [1.5, 1], (0, 3): [0.5, -1], (1, 5): [3, None]}
+
+
+def test_designs_are_added_up_over_batches(spark, parts):
+    """No task gets the whole of a feature table: batches of three sentences give the dense design."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = _designs(parts)
+        assert "CoGroup" not in out._jdf.queryExecution().optimizedPlan().toString()
+        want = _dense(parts[3], parts[4])
+        rows = out.collect()
+        assert len(rows) == 2 * RUNS * SCANS
+        for r in rows:
+            assert np.allclose(r.x, want[r.run][r.scan] * (1.0 if r.condition == "shared" else -0.5))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
