@@ -88,6 +88,19 @@ def test_retrieval_blocks_agree(spark):
         assert [got[f"{a}>{b}", t] for t in range(23)] == best.tolist()
 
 
+def test_retrieval_sends_a_vector_to_few_blocks(spark):
+    """However many triplets: eight blocks of the two other languages; equal vectors give the least id."""
+    rng = np.random.default_rng(8)
+    rows = [(lang, t, 0, rng.normal(size=4).tolist() if t != 90 else [9.0, 9.0, 9.0, 9.0]) for lang in range(3) for t in range(100)]
+    rows = [(lang, t, layer, [9.0] * 4 if t in (40, 90) else vec) for lang, t, layer, vec in rows]
+    v = spark.createDataFrame(rows, "lang int, triplet bigint, layer int, vec array<double>")
+    out = G.nearest_translation(v, ["layer"], block=2)
+    assert "sequence(0, 7" in out._jdf.queryExecution().analyzed().toString()
+    got = {(r.direction, r.triplet): r.best for r in out.collect()}
+    side = {lang: np.array([r[3] for r in rows if r[0] == lang]) for lang in range(3)}
+    assert got == {(f"{a}>{b}", t): int(x) for a, b in itertools.permutations(range(3), 2) for t, x in enumerate((side[a] @ side[b].T).argmax(1))}
+
+
 def _sections(seed, sizes):
     rng = np.random.default_rng(seed)
     return [A.Section(["w" * rng.integers(3, 30) + rng.choice([".", "?"]) for _ in range(n)], rng.normal(size=(n, 6))) for n in sizes]
