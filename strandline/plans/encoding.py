@@ -34,7 +34,8 @@ def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ridge_encode_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every condition; those of mismatched vectors are means over the shuffles."""
-    out = E.encode_groups(_scans(spark, sf_dir), ["lang", "layer", "condition", "shuffle"], ["t0", "t1", "t2"])
+    group = ["lang", "layer", "condition", "shuffle"]
+    out = E.encode_groups(E.condensed(_scans(spark, sf_dir), group), group, ["t0", "t1", "t2"])
     keys = ["lang", "layer", "condition", "target"]
     return E.shuffle_average(out, keys).select(*keys, *[shown(c, 4).alias(c) for c in ("r", "z", "r2")])
 

@@ -234,6 +234,44 @@ def test_encoding_against_closed_form():
         E.encode(x, y, z, runs % 2)
 
 
+def test_encoding_of_many_scans_holds_few_rows(spark, monkeypatch):
+    """A fit meets fewer than two rows for each column of a run, however many scans, and finds what all scans give; what is constant says nothing."""
+    rng = np.random.default_rng(3)
+    runs = np.repeat([1, 2, 3, 5], [700, 500, 600, 9])
+    n = len(runs)
+    z = np.column_stack([np.ones(n), np.cos(np.arange(n) / 40)])
+    groups = {}
+    for key, width in (("a", 3), (None, 5)):
+        x = np.column_stack([rng.normal(3.0, 2.0, size=(n, width)), np.full(n, 7.1)])
+        y = np.column_stack([x[:, 0] - 0.4 * x[:, 1] + rng.normal(size=n), rng.normal(size=n), np.full(n, 5.3), np.where(runs == 2, 0.3, x[:, 1])])
+        groups[key] = (x, y, E.encode(x, y, z, runs))
+    still = rng.normal(size=(n, 2))
+    groups["none"] = (np.full((n, 2), 7.1), still, (np.zeros(2),) * 3)
+    rows = spark.createDataFrame([(key, int(runs[i]), i, x[i].tolist(), z[i].tolist(), y[i].tolist()) for key, (x, y, _) in groups.items() for i in range(n)], "k string, run int, scan int, x array<double>, nuisance array<double>, y array<double>").repartition(3)
+    encode = E.encode
+
+    def few(x, y, z, runs, **more):
+        if len(x) > 4 * 2 * (1 + x.shape[1] + z.shape[1] + y.shape[1]):
+            raise ValueError(f"{len(x)} rows at once")
+        return encode(x, y, z, runs, **more)
+
+    monkeypatch.setattr(E, "encode", few)
+    monkeypatch.setattr(E, "HELD", 20_000, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        for given in (lambda: rows, lambda: E.condensed(rows, ["k"])):
+            found = {(f.k, f.position): (f.r, f.z, f.r2) for f in E.encode_groups(given(), ["k"], None).collect()}
+            assert len(found) == 10
+            for key, (_, y, want) in groups.items():
+                got = np.array([found[key, t] for t in range(y.shape[1])]).T
+                assert np.allclose(got[:2], want[:2], atol=1e-9)
+                if key != "none":
+                    assert np.allclose(got[2], want[2], atol=1e-9) and (got[:, 2] == 0).all() and got[0, 0] > 0.5
+        assert E.condensed(rows, ["k"]).count() < rows.count() / 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_grids_against_numpy(spark):
     rng = np.random.default_rng(1)
     t, v = np.sort(rng.uniform(0, 9.9, 12)), rng.normal(size=12)
